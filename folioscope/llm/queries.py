@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm.catalogue import match_catalogue
+from folioscope.llm.parties import link_parties, names_of_cases
 from folioscope.sources.tables import table
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of spellings of a case that mean the same party."""
+    return link_parties(
+        names_of_cases(
+            table(spark, folder, "price_lines", "case_id", "supplier_name", "supplier_tax_id"),
+            table(spark, folder, "piece_fields", "case_id", "field_name", "literal"),
+            table(spark, folder, "person_aliases", "case_id", "name_literal", "strong_key"),
+        )
+    )
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The catalogue entry of every price line without item, 0 if there is none."""
     lines = table(spark, folder, "price_lines", "line_id", "description", "item_id")
     return match_catalogue(lines, table(spark, folder, "catalog_items", "item_id", "item_name"))
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}
