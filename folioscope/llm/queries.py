@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm.catalogue import match_catalogue
+from folioscope.llm.neardup import near_duplicates
 from folioscope.llm.parties import link_parties, names_of_cases
 from folioscope.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of pages of like text: runs of three words, similarity 0.5, twenty words."""
+    pages = table(spark, folder, "case_pages", "page_id", "page_text")
+    pairs = near_duplicates(pages, "page_id", "page_text", run=3, threshold=0.5, min_words=20)
+    return pairs.toDF("page_id_a", "page_id_b")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of spellings of a case that mean the same party."""
     return link_parties(
@@ -26,5 +34,5 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return match_catalogue(lines, table(spark, folder, "catalog_items", "item_id", "item_name"))
 
 
-QUERIES = {"p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}
