@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from folioscope.llm.catalogue import match_catalogue
 from folioscope.llm.neardup import near_duplicates
 from folioscope.llm.parties import link_parties, names_of_cases
+from folioscope.llm.scans import scan_repairs
 from folioscope.sources.tables import table
 
 
@@ -17,6 +18,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.toDF("page_id_a", "page_id_b")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of scanned pages that a repair has to treat."""
+    return scan_repairs(
+        table(spark, folder, "words", "word_id", "reading_id", "ord", "text", "x0", "y0"),
+        table(spark, folder, "readings", "reading_id", "page_id", "route"),
+        table(spark, folder, "case_pages", "page_id", "file_sha", "page_no", "page_text"),
+    ).select("word_id", "kind")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of spellings of a case that mean the same party."""
     return link_parties(
@@ -34,5 +44,5 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return match_catalogue(lines, table(spark, folder, "catalog_items", "item_id", "item_name"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}
