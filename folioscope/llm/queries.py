@@ -8,6 +8,7 @@ from folioscope.llm.catalogue import match_catalogue
 from folioscope.llm.neardup import near_duplicates
 from folioscope.llm.parties import link_parties, names_of_cases
 from folioscope.llm.scans import scan_repairs
+from folioscope.llm.subjects import classify_subjects
 from folioscope.sources.tables import table
 
 
@@ -44,5 +45,14 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return match_catalogue(lines, table(spark, folder, "catalog_items", "item_id", "item_name"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The subjects of each document."""
+    return classify_subjects(
+        table(spark, folder, "documents", "doc_id", "text"),
+        table(spark, folder, "subject_labels", "doc_id", "subject_id"),
+        table(spark, folder, "subjects", "subject_id"),
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
