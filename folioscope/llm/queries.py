@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioscope.llm.catalogue import match_catalogue
+from folioscope.llm.mixing import mix_report, mix_sources
 from folioscope.llm.neardup import near_duplicates
+from folioscope.llm.packing import pack_documents, pack_report
 from folioscope.llm.parties import link_parties, names_of_cases
 from folioscope.llm.scans import scan_repairs
 from folioscope.llm.subjects import classify_subjects
+from folioscope.llm.tokens import with_tokens
+from folioscope.session import cut_lineage
 from folioscope.sources.tables import table
 
 
@@ -45,6 +49,28 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return match_catalogue(lines, table(spark, folder, "catalog_items", "item_id", "item_name"))
 
 
+def p6_packs(spark: SparkSession, folder: str) -> DataFrame:
+    """The pack of each piece of each document, for every capacity."""
+    sized = cut_lineage(with_tokens(table(spark, folder, "documents", "doc_id", "text")))
+    return pack_documents(sized, table(spark, folder, "pack_sizes", "pack_id", "capacity_tokens"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Use of space per capacity."""
+    return pack_report(cut_lineage(p6_packs(spark, folder)))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The chosen documents with their repeats and their place in the mix."""
+    sized = with_tokens(table(spark, folder, "documents", "doc_id", "text", "source"), "source")
+    return mix_sources(sized, table(spark, folder, "mix_targets", "source", "target_share", "max_repeats"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares of the mix that each source reaches."""
+    return mix_report(p7_mix(spark, folder), table(spark, folder, "mix_targets", "source", "target_share", "max_repeats"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The subjects of each document."""
     return classify_subjects(
@@ -54,5 +80,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_packs": p6_packs, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
