@@ -44,11 +44,11 @@ class Settings:
     dim: int = 16
     rounds: int = 8
     #: A shard walks its documents as often as it takes to make about this many steps a round.
-    steps: int = 1200
+    steps: int = 1600
     shards: int = 4
     rate: float = 0.3
     #: Below one half, since missing labels pull the probabilities down.
-    threshold: float = 0.3
+    threshold: float = 0.25
     max_labelled: int = 20_000
     seed: int = 7
 
@@ -108,35 +108,62 @@ class Model:
         mean = np.add.reduceat(self.embed[flat], starts, axis=0) / np.array([[len(p)] for p in paragraphs], dtype=np.float32)
         return _sigmoid(mean @ self.weight + self.bias)
 
-    def learn(self, paragraphs: list[np.ndarray], truth: np.ndarray, rate: float) -> None:
+    def learn(self, doc: Document, truth: np.ndarray, rate: float) -> None:
         """One Adagrad step on one document."""
-        lengths = np.array([len(p) for p in paragraphs])
-        flat = np.concatenate(paragraphs)
-        starts = np.cumsum(np.concatenate(([0], lengths[:-1])))
-        mean = np.add.reduceat(self.embed[flat], starts, axis=0) / lengths[:, None]
+        mean = doc.averages(self.embed)
         p = np.clip(_sigmoid(mean @ self.weight + self.bias), 1e-6, 1 - 1e-6)
         none = np.prod(1 - p, axis=0)
         whole = np.clip(1 - none, 1e-6, 1.0)
         slope = np.where(truth[None, :] > 0, -p * (none / whole)[None, :], p).astype(np.float32)
         d_weight, d_bias = mean.T @ slope, slope.sum(axis=0)
-        d_mean = (slope @ self.weight.T) / lengths[:, None]
-        rows, place = np.unique(flat, return_inverse=True)
-        d_embed = np.zeros((len(rows), self.embed.shape[1]), dtype=np.float32)
-        np.add.at(d_embed, place, np.repeat(d_mean, lengths, axis=0))
+        d_embed = doc.spread(slope @ self.weight.T)
         se, sw, sb = self.sums
-        se[rows] += d_embed**2
+        rows = doc.rows
+        kept = se[rows] + d_embed**2
+        se[rows] = kept
         sw += d_weight**2
         sb += d_bias**2
-        self.embed[rows] -= rate * d_embed / np.sqrt(se[rows])
+        self.embed[rows] -= rate * d_embed / np.sqrt(kept)
         self.weight -= 0.3 * rate * d_weight / np.sqrt(sw)
         self.bias -= 0.1 * rate * d_bias / np.sqrt(sb)
 
 
+class Document:
+    """The paragraphs of a document as averages over its distinct features."""
+
+    def __init__(self, paragraphs: list[np.ndarray], dense_cells: int = 4_000_000):
+        self.lengths = np.array([len(p) for p in paragraphs])
+        flat = np.concatenate(paragraphs)
+        self.rows, place = np.unique(flat, return_inverse=True)
+        self.starts = np.cumsum(np.concatenate(([0], self.lengths[:-1])))
+        self.matrix, self.place = None, place
+        if len(paragraphs) * len(self.rows) <= dense_cells:
+            paragraph = np.repeat(np.arange(len(paragraphs)), self.lengths)
+            cells = np.bincount(paragraph * len(self.rows) + place, minlength=len(paragraphs) * len(self.rows))
+            self.matrix = (cells.reshape(len(paragraphs), -1) / self.lengths[:, None]).astype(np.float32)
+            self.place = None
+
+    def averages(self, embed: np.ndarray) -> np.ndarray:
+        """Average embedding of each paragraph."""
+        own = embed[self.rows]
+        if self.matrix is not None:
+            return self.matrix @ own
+        return np.add.reduceat(own[self.place], self.starts, axis=0) / self.lengths[:, None].astype(np.float32)
+
+    def spread(self, change: np.ndarray) -> np.ndarray:
+        """What a change of the averages means for the distinct features."""
+        if self.matrix is not None:
+            return self.matrix.T @ change
+        out = np.zeros((len(self.rows), change.shape[1]), dtype=np.float32)
+        np.add.at(out, self.place, np.repeat(change / self.lengths[:, None], self.lengths, axis=0))
+        return out
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train_shard(model: Model, docs: list[tuple[list[np.ndarray], np.ndarray]], s: Settings, round_no: int) -> Model:
+def train_shard(model: Model, docs: list[tuple[Document, np.ndarray]], s: Settings, round_no: int) -> Model:
     """The parameters after walking the shard's documents for one round."""
     order = np.arange(len(docs))
     for e in range(max(1, round(s.steps / max(1, len(docs))))):
@@ -168,20 +195,24 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[int], s
         .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards)).cast("int"))
     )
     model = Model.fresh(s, len(subjects))
-    for round_no in range(s.rounds):
-        start = spark.sparkContext.broadcast(_pack(model))
+    def walker(start, round_no: int):
+        """The work of one shard in one round, for applyInPandas."""
 
-        def run(group: pd.DataFrame, start=start, round_no=round_no) -> pd.DataFrame:
+        def run(group: pd.DataFrame) -> pd.DataFrame:
             features, local = Features(s.buckets), _unpack(start.value, s, len(places))
             docs = []
             for text, truth in group.sort_values("doc_id")[["text", "truth"]].itertuples(index=False):
                 y = np.zeros(len(places), dtype=np.float32)
                 y[[places[t] for t in truth]] = 1
                 if paragraphs := features.paragraphs(text):
-                    docs.append((paragraphs, y))
+                    docs.append((Document(paragraphs), y))
             return pd.DataFrame({"n": [len(docs)], "parts": [_pack(train_shard(local, docs, s, round_no))]})
 
-        moved = labelled.groupBy("shard").applyInPandas(run, "n bigint, parts array<binary>").collect()
+        return run
+
+    for round_no in range(s.rounds):
+        start = spark.sparkContext.broadcast(_pack(model))
+        moved = labelled.groupBy("shard").applyInPandas(walker(start, round_no), "n bigint, parts array<binary>").collect()
         start.destroy()
         if not (total := sum(r.n for r in moved)):
             return model
