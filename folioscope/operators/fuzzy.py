@@ -5,6 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import py_fold
@@ -70,14 +71,22 @@ def holds_phrase(text: str, phrase: str, anchor: int = 6, least: float = 0.9) ->
     return False
 
 
-@F.pandas_udf("double")
-def token_dice_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+def token_dice_of(a: Column, b: Column) -> Column:
     """`token_dice` of two array columns; null arrays count as empty."""
-    as_list = lambda v: [] if v is None else list(v)
-    return pd.Series([token_dice(as_list(x), as_list(y)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
+    @F.pandas_udf("double")
+    def dice(x: pd.Series, y: pd.Series) -> pd.Series:
+        as_list = lambda v: [] if v is None else list(v)
+        return pd.Series([token_dice(as_list(p), as_list(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-@F.pandas_udf("double")
-def name_likeness_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return dice(a, b)
+
+
+def name_likeness_of(a: Column, b: Column) -> Column:
     """`name_likeness` of two columns; null names are like nothing."""
-    return pd.Series([name_likeness(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([name_likeness(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return likeness(a, b)

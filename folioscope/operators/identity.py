@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.identifiers import compare_key
-from folioscope.operators.fuzzy import name_likeness_udf
+from folioscope.operators.fuzzy import name_likeness_of
 from folioscope.operators.graph import components
 
 
@@ -46,7 +46,7 @@ def merge_proposals(persons: DataFrame, decided: DataFrame | None = None, least:
     )
     if decided is not None:
         pairs = pairs.join(decided.select("case_id", "id_a", "id_b"), ["case_id", "id_a", "id_b"], "left_anti")
-    return pairs.withColumn("likeness", name_likeness_udf("name_a", "name_b")).where(F.col("likeness") >= least).drop("key_a", "key_b")
+    return pairs.withColumn("likeness", name_likeness_of(F.col("name_a"), F.col("name_b"))).where(F.col("likeness") >= least).drop("key_a", "key_b")
 
 
 def apply_merges(persons: DataFrame, merges: DataFrame) -> DataFrame:

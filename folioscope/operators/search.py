@@ -32,6 +32,11 @@ def compile_query(query: str) -> tuple[list[str], list[str]]:
     return phrases, [w for w in re.split(r"[^a-z0-9]+", py_fold(rest)) if w]
 
 
+def _word_test(word: str):
+    """Test of one token: a prefix from three letters on, else the whole word."""
+    return (lambda t: t.startswith(word)) if len(word) >= 3 else (lambda t: t == word)
+
+
 def matches(text: Column, query: str) -> Column:
     """Whether a text has all words (as prefixes from three letters on) and phrases of a query."""
     phrases, words = compile_query(query)
@@ -40,7 +45,7 @@ def matches(text: Column, query: str) -> Column:
     for p in phrases:
         cond = cond & folded.contains(p)
     for w in words:
-        cond = cond & F.exists(tokens, lambda t, w=w: t.startswith(w) if len(w) >= 3 else t == w)
+        cond = cond & F.exists(tokens, _word_test(w))
     return F.coalesce(cond, F.lit(False))
 
 
