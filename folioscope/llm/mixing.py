@@ -98,12 +98,12 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     per = mixed.groupBy("source").agg(
         F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("copies"), F.max("repeat_no").alias("repeats")
     )
-    whole = per.agg(F.sum("tokens").alias("whole"))
+    whole = per.agg(F.sum("tokens").alias("whole")).first().whole
     return (
-        targets.select("source", "target_share", "max_repeats").join(per, "source", "left").crossJoin(F.broadcast(whole))  # one row
+        targets.select("source", "target_share", "max_repeats").join(per, "source", "left")
         .select(
             "source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("documents", F.lit(0)).alias("documents"),
             F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("repeats", F.lit(0)).alias("repeats"),
-            F.round(F.coalesce("tokens", F.lit(0)) / F.col("whole"), 6).alias("reached_share"),
+            F.round(F.coalesce("tokens", F.lit(0)) / F.lit(whole), 6).alias("reached_share"),
         )
     )

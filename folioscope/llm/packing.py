@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+SCHEMA = "pack_id int, capacity_tokens int, doc_id bigint, piece int, first_token bigint, n_tokens bigint, pack_no string, pack_offset int"
+
+
 class OpenPacks:
     """A bounded set of open packs, searched by free space."""
 
@@ -59,7 +62,7 @@ class OpenPacks:
         return pack, self.capacity - free
 
 
-def pack_documents(sized: DataFrame, sizes: DataFrame, shard_tokens: int = 40_000_000, places: int = 256) -> DataFrame:
+def pack_documents(sized: DataFrame, sizes: DataFrame, shard_tokens: int = 40_000_000, places: int = 256, most_sizes: int = 100) -> DataFrame:
     """pack_id, capacity_tokens, doc_id, piece, first_token, n_tokens, pack_no, pack_offset.
 
     `sized`: doc_id, n_tokens; `sizes`: pack_id, capacity_tokens. The number of shards
@@ -67,11 +70,17 @@ def pack_documents(sized: DataFrame, sizes: DataFrame, shard_tokens: int = 40_00
     """
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first().n
     shards = max(1, round(total / shard_tokens))
-    kinds = sizes.where("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct()
+    kinds = sizes.where("capacity_tokens > 0").select("pack_id", "capacity_tokens").distinct().orderBy("pack_id", "capacity_tokens").limit(most_sizes + 1).collect()
+    if len(kinds) > most_sizes:
+        raise ValueError(f"more than {most_sizes} capacities")
+    listed = [F.struct(F.lit(k.pack_id).alias("pack_id"), F.lit(k.capacity_tokens).alias("capacity_tokens")) for k in kinds]
+    if not listed:
+        return sized.sparkSession.createDataFrame([], SCHEMA)
     pieces = (
         sized.where("n_tokens > 0")
         .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-        .join(F.broadcast(kinds.limit(1000)))  # the list of capacities, bounded here
+        .withColumn("kind", F.explode(F.array(*listed)))
+        .select("doc_id", "n_tokens", "shard", "kind.pack_id", "kind.capacity_tokens")
     )
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
@@ -96,10 +105,7 @@ def pack_documents(sized: DataFrame, sizes: DataFrame, shard_tokens: int = 40_00
     return (
         pieces.withColumn("turn", F.xxhash64("doc_id", F.lit(1)))
         .groupBy("pack_id", "capacity_tokens", "shard")
-        .applyInPandas(
-            fill,
-            "pack_id int, capacity_tokens int, doc_id bigint, piece int, first_token bigint, n_tokens bigint, pack_no string, pack_offset int",
-        )
+        .applyInPandas(fill, SCHEMA)
     )
 
 
