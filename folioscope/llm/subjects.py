@@ -191,7 +191,7 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[int], s
     # The bound is on training data only: the documents with the smallest hashes.
     sample = marks.orderBy(F.xxhash64("doc_id")).limit(s.max_labelled)
     labelled = cut_lineage(
-        documents.where("text is not null").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("truth").alias("truth"))
+        documents.select("doc_id", "text").where("text is not null").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("truth").alias("truth"))
         .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards)).cast("int"))
     )
     model = Model.fresh(s, len(subjects))
