@@ -5,32 +5,40 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 
+State = tuple[tuple[int, ...], tuple[int, ...], str]
+
+
 class Automaton:
-    """The Levenshtein automaton of one word; states are built when first reached."""
+    """The Levenshtein automaton of one word, neighbour swaps as one edit; states are built when first reached."""
 
     def __init__(self, word: str, bound: int):
         self.word, self.bound = word, bound
-        self.start = tuple(min(i, bound + 1) for i in range(len(word) + 1))
-        self._next: dict[tuple[tuple[int, ...], str], tuple[int, ...]] = {}
+        self.letters = frozenset(word)
+        self.start: State = ((), tuple(min(i, bound + 1) for i in range(len(word) + 1)), "")
+        self._next: dict[tuple[State, str], State] = {}
 
-    def step(self, state: tuple[int, ...], char: str) -> tuple[int, ...]:
+    def step(self, state: State, char: str) -> State:
         """The state after one more character of the other word."""
-        key = (state, char if char in self.word else "")
-        got = self._next.get(key)
+        char = char if char in self.letters else ""
+        got = self._next.get((state, char))
         if got is None:
-            cap, row = self.bound + 1, [min(state[0] + 1, self.bound + 1)]
+            before, now, last = state
+            cap, row = self.bound + 1, [min(now[0] + 1, self.bound + 1)]
             for i, c in enumerate(self.word):
-                row.append(min(state[i] + (c != char), state[i + 1] + 1, row[i] + 1, cap))
-            got = self._next[key] = tuple(row)
+                cost = min(now[i] + (c != char), now[i + 1] + 1, row[i] + 1, cap)
+                if i and before and char == self.word[i - 1] and last == c:
+                    cost = min(cost, before[i - 1] + 1)
+                row.append(cost)
+            got = self._next[state, char] = (now, tuple(row), char)
         return got
 
-    def alive(self, state: tuple[int, ...]) -> bool:
+    def alive(self, state: State) -> bool:
         """Whether some continuation can still match."""
-        return min(state) <= self.bound
+        return min(state[1]) <= self.bound
 
-    def distance(self, state: tuple[int, ...]) -> int | None:
+    def distance(self, state: State) -> int | None:
         """The distance if the state accepts."""
-        return state[-1] if state[-1] <= self.bound else None
+        return state[1][-1] if state[1][-1] <= self.bound else None
 
 
 class Trie:

@@ -76,12 +76,13 @@ def test_trie_equals_brute_force():
     words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(150)]
 
     def distance(x, y):
-        row = list(range(len(y) + 1))
-        for i, c in enumerate(x, 1):
-            prev, row[0] = row[0], i
-            for j, d in enumerate(y, 1):
-                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (c != d))
-        return row[-1]
+        d = {(i, 0): i for i in range(len(x) + 1)} | {(0, j): j for j in range(len(y) + 1)}
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x[i - 1] != y[j - 1]))
+                if i > 1 and j > 1 and x[i - 1] == y[j - 2] and x[i - 2] == y[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(x), len(y)]
 
     t = trie.Trie(words)
     for w in words[:40]:
