@@ -33,12 +33,13 @@ SYNONYMS = {
     "tubo": "cano", "caneria": "cano", "ssd": "disco solido", "cuerda": "soga", "tapaboca": "barbijo",
     "foco": "lampara", "lapicera": "bolígrafo", "birome": "bolígrafo", "guantes": "guante", "resmas": "resma",
     "acumulador": "bateria", "neumatico": "cubierta", "diesel": "gasoil", "hipoclorito": "lavandina", "gte": "guante",
-    "rma": "resma",
+    "rma": "resma", "son": "sin",
 }
 # A name that means another good only beside a certain word.
 PAIRED_SYNONYMS = {("llave", "termomagnetico"): "interruptor"}
 # Shapes that a bad reading gives to a letter, and the letter.
-_SHAPES = (("rn", "m"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("0", "o"), ("1", "l"), ("5", "s"), ("(", "c"), ("9", "g"), ("8", "b"), ("6", "b"), ("2", "z"), ("fi", "n"))
+_SHAPES = (("rn", "m"), ("r1", "n"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("0", "o"), ("1", "l"), ("5", "s"), ("(", "c"), ("9", "g"), ("8", "b"), ("6", "b"), ("2", "z"), ("fi", "n"))
+_DIGITS = str.maketrans("oil", "011")
 # Letters that sound alike.
 _SOUNDS = (("ll", "y"), ("z", "s"), ("ce", "se"), ("ci", "si"), ("v", "b"), ("x", "b"), ("k", "c"), ("qu", "c"), ("h", ""), ("fi", "n"))
 
@@ -50,9 +51,10 @@ _TAIL = re.compile(
 _ROLL_TAIL = re.compile(rf"(?<=\S)\s+\(?(?:(?:{_CONTAINER})(?:\s+(?:de|x))?|x)\s+[0-9][0-9.,]*\s*[a-z][a-z0-9./]*(?:\s+cuadrados|\s+cubicos)?\)?\s*$")
 _REMARK = re.compile(r"\b(?:o similar|s/muestra|segun pliego|1ra calidad|p/ deposito)\b|^(?:reng\.?\s*\d+\s*:?|item\s*\d*\s*:?)")
 _HINT = re.compile(rf"presentac|contenid|medido|precio|expresada|\(por| por | x [0-9]|(?:{_CONTAINER}) |similar|muestra|pliego|calidad|dep|^reng|^item")
-_MARKS = str.maketrans("áéíóúüñàèìòùâêîôûãõç", "aeiouunaeiouaeiouaoc")
+_MARKS = str.maketrans("áéíóúüñàèìòùâêîôûãõç²³", "aeiouunaeiouaeiouaoc23")
 _NUMBER = re.compile(r"[0-9][0-9.,/x\-]*")
 _NUMBER_UNIT = re.compile(r"([0-9]+(?:[.,/x-][0-9]+)*)([a-z%].*)")
+_INNER_DOT = re.compile(r"([a-z]{2,})\.([a-z])")
 _EDGE = "()[]{},;:.-/\"'"
 
 
@@ -97,6 +99,7 @@ class Catalogue:
             for w in set(words):
                 self.by_word[w].append(item)
         self.codes = {w for w in self.by_word if any(c.isdigit() for c in w)}
+        self.containers = [w for w in _CONTAINER.split("|") if w in self.by_word]
         self.plain = [w for w in self.by_word if w not in self.codes]
         self.synonyms = {k: py_fold(v).split() for k, v in SYNONYMS.items()}
         self.deletes: dict[str, set[str]] = defaultdict(set)
@@ -126,9 +129,13 @@ class Catalogue:
             if not t or t == ".":
                 continue
             bare = t.rstrip(".")
-            if codes is not None and bare in codes:
+            if codes is not None and (m := _INNER_DOT.fullmatch(bare)):
+                out.append(m[1] + m[2] + ".")
+            elif codes is not None and bare in codes:
                 out.append(bare)
-            elif codes is not None and len(bare) > 3 and bare[1:2].isalpha() and bare[1:] not in self.by_word and self.lookup(bare):
+            elif codes is not None and bare[0].isdigit() and (number := bare.translate(_DIGITS)) in codes:
+                out.append(number)
+            elif codes is not None and len(bare) >= 3 and bare[0].isdigit() and bare[1:2].isalpha() and bare[1:] not in self.by_word and self.lookup(bare):
                 out.append(bare)
             elif (m := _NUMBER_UNIT.fullmatch(bare)) and not (codes is None and len(m[2]) > 3):
                 if codes is None and re.fullmatch(r"[0-9]+[a-z][0-9]*", bare) and m[2] not in ("mm", "cm", "m", "w", "gb", "g"):
@@ -173,14 +180,14 @@ class Catalogue:
             return found
         best: dict[str, float] = {}
         letters = sum(c.isalpha() for c in word)
-        if letters >= 2 and len(word) >= 3:
+        if letters >= 2:
             skeleton, sound = _skeleton(word), _sound(word)
             near: set[str] = set()
             for form in {word, skeleton, sound}:
                 for d in _deletes(form, _depth(word)):
                     near |= self.deletes.get(d, set())
             for w in near:
-                limit = 1.0 if len(w) < 4 else 1.3 if len(w) < 5 else 1.9 if len(w) < 6 else 2.3
+                limit = 1.0 if len(w) < 4 else 1.3 if len(w) < 5 else 2.0 if len(w) < 6 else 2.3
                 c = weighted_damerau(word, w, limit)
                 if c > 0.6:
                     shape, heard = self.shapes[w]
@@ -197,7 +204,7 @@ class Catalogue:
             for form in {word, _skeleton(word)}:
                 for w in self.prefixes.get(form, ()):
                     best[w] = min(best.get(w, 9.0), 0.3 if short else 0.9)
-            if short and len(word) >= 4:
+            if short:
                 for form in _deletes(word, 1):
                     for w, prefix in self.prefix_deletes.get(form, ()):
                         if (c := 0.4 + weighted_damerau(word, prefix, 1.0)) <= 1.4:
@@ -211,7 +218,7 @@ class Catalogue:
         if brand > 0:
             text = text[:brand].rstrip()
         while _HINT.search(text):
-            cut = _REMARK.sub(" ", _TAIL.sub("", text)).strip()
+            cut = _TAIL.sub("", _REMARK.sub(" ", text).strip()).strip()
             if cut == text or not cut:
                 break
             text = cut
@@ -225,14 +232,21 @@ class Catalogue:
         got = self.known.get(tokens)
         if got is None:
             got = self.known[tokens] = self._search(list(tokens))
+        if not got and (named := [w for w in self.containers if w in description.lower() and w not in tokens]):
+            # What looked like a container may be part of the name.
+            got = self._search([*tokens, *named])
         return got
 
     def _search(self, tokens: list[str]) -> int:
+        # A thermomagnetic "llave" is a switch, not a tap.
         if "termomagnetico" in {w for t in tokens for w in self.lookup(t)}:
-            tokens = [PAIRED_SYNONYMS.get((t, "termomagnetico"), t) for t in tokens]
-        got = self._match(tokens) or self._match(self.respace(tokens))
+            tokens = ["interruptor" if "llave" in self.lookup(t) else t for t in tokens]
+        moved = self.respace(tokens)
+        keys = [k for k in (self._match(tokens), self._match(moved) if moved != tokens else None) if k]
+        got = min(keys)[2] if keys else 0
         if not got and (m := _ROLL_TAIL.search(text := " ".join(tokens))):
-            got = self._match(text[: m.start()].split())
+            key = self._match(text[: m.start()].split())
+            got = key[2] if key else 0
         return got
 
     def respace(self, tokens: list[str]) -> list[str]:
@@ -242,10 +256,8 @@ class Catalogue:
             t, pair = tokens[i], None
             if t not in self.by_word:
                 for joined, n in ((t, 1), (t + tokens[i + 1], 2)) if i + 1 < len(tokens) else ((t, 1),):
-                    pair = next(
-                        ((joined[:p], joined[p:], n) for p in range(1, len(joined)) if joined[:p] in self.by_word and joined[p:] in self.by_word),
-                        None,
-                    )
+                    cuts = [(joined[:p], joined[q:], n) for p in range(1, len(joined)) for q in (p, p + 1)]
+                    pair = next((c for c in cuts if c[0] in self.by_word and c[1] in self.by_word), None)
                     if pair:
                         break
             if pair:
@@ -256,7 +268,8 @@ class Catalogue:
                 i += 1
         return out
 
-    def _match(self, tokens: list[str]) -> int:
+    def _match(self, tokens: list[str]) -> tuple[float, int, int] | None:
+        """(cost, -use, id) of the best entry."""
         wanted: dict[str, list[tuple[float, int]]] = defaultdict(list)
         heavy = []
         for i, t in enumerate(tokens):
@@ -293,7 +306,7 @@ class Catalogue:
             if total <= 1.2 + 0.9 * len(words):
                 key = (round(total, 6), -self.usage.get(item, 0), item)
                 best = min(best, key) if best else key
-        return best[2] if best else 0
+        return best
 
     def is_compound(self, token: str) -> bool:
         """Whether one typed word stands for several words of the list."""
