@@ -48,7 +48,7 @@ class Settings:
     shards: int = 4
     rate: float = 0.3
     #: Below one half, since missing labels pull the probabilities down.
-    threshold: float = 0.25
+    threshold: float = 0.15
     max_labelled: int = 20_000
     seed: int = 7
 
