@@ -48,9 +48,12 @@ def labelled(text: Column, label: str) -> Column:
     return F.nullif(found, F.lit(""))
 
 
-def identifiers(text: Column, kind: str) -> Column:
-    """Distinct numbers of a class in a text, without blanks and leading zeros, sorted."""
-    found = F.regexp_extract_all(fold(text), F.lit(IDENTIFIERS[kind]), F.lit(1))
+def identifiers(text: Column, kind: str, folded: bool = False) -> Column:
+    """Distinct numbers of a class in a text, without blanks and leading zeros, sorted.
+
+    `folded` says that the text went through `fold` before, which saves doing it for each class.
+    """
+    found = F.regexp_extract_all(text if folded else fold(text), F.lit(IDENTIFIERS[kind]), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, "^0+([0-9])", "$1"))))
 
 

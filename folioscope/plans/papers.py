@@ -247,8 +247,8 @@ def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
 )
 def identifiers_in_text(spark: SparkSession, folder: str) -> DataFrame:
     """Numbers of files, orders, vouchers and the like in each document."""
-    d = table(spark, folder, "documents", "doc_id", "text").where("text is not null")
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), identifiers(F.col("text"), k).alias("ids")) for k in IDENTIFIERS]))
+    d = table(spark, folder, "documents", "doc_id", "text").where("text is not null").select("doc_id", fold("text").alias("t"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), identifiers(F.col("t"), k, folded=True).alias("ids")) for k in IDENTIFIERS]))
     return d.select("doc_id", each.alias("x")).select("doc_id", "x.kind", "x.ids").where(F.size("ids") > 0)
 
 
