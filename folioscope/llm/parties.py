@@ -228,6 +228,12 @@ def names_of_cases(lines: DataFrame, fields: DataFrame, aliases: DataFrame) -> D
     return counted.groupBy("case_id", "name").agg(best["number"].alias("number"))
 
 
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that is heavy for its few bytes, which Spark would else put into too few."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def trie_join(words: DataFrame, shard_words: int = 4000) -> DataFrame:
     """case_id, word_a, word_b (a <= b) for all words of a case within bounded edit distance.
 
@@ -251,7 +257,8 @@ def trie_join(words: DataFrame, shard_words: int = 4000) -> DataFrame:
         ]
         return pd.DataFrame(found, columns=["case_id", "word_a", "word_b"])
 
-    return paired.groupBy("case_id", "lo", "hi").applyInPandas(join, "case_id string, word_a string, word_b string").distinct()
+    spread = paired.repartition(_tasks(words), "case_id", "lo", "hi")
+    return spread.groupBy("case_id", "lo", "hi").applyInPandas(join, "case_id string, word_a string, word_b string").distinct()
 
 
 def link_parties(names: DataFrame) -> DataFrame:
@@ -281,6 +288,7 @@ def link_parties(names: DataFrame) -> DataFrame:
             F.when(F.col("x") < F.col("y"), F.col("id_x")).otherwise(F.col("id_y")).alias("id_a"),
             F.when(F.col("x") < F.col("y"), F.col("id_y")).otherwise(F.col("id_x")).alias("id_b"),
         )
+        .repartition(_tasks(names), "case_id", "a", "b")
         .distinct()
     )
 
