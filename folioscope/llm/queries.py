@@ -9,7 +9,7 @@ from folioscope.llm.mixing import mix_report, mix_sources
 from folioscope.llm.neardup import near_duplicates
 from folioscope.llm.packing import pack_documents, pack_report
 from folioscope.llm.parties import link_parties, names_of_cases
-from folioscope.llm.scans import scan_repairs
+from folioscope.llm.scans import scan_paragraphs, scan_repairs
 from folioscope.llm.subjects import classify_subjects
 from folioscope.llm.tokens import with_tokens
 from folioscope.session import cut_lineage
@@ -32,6 +32,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     ).select("word_id", "kind")
 
 
+def p2_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """The repaired paragraphs of each reading, in order."""
+    return scan_paragraphs(
+        table(spark, folder, "words", "word_id", "reading_id", "ord", "text", "x0", "y0", "x1"),
+        table(spark, folder, "readings", "reading_id", "page_id", "route"),
+        table(spark, folder, "case_pages", "page_id", "file_sha", "page_no", "page_text"),
+    )
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of spellings of a case that mean the same party."""
     return link_parties(
@@ -80,5 +89,5 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_packs": p6_packs, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p5_found": p5_found, "p6_packs": p6_packs, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}

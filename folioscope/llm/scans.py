@@ -17,6 +17,9 @@ kind that applies:
   plus difference proposes the variants, which are then checked letter by letter and ranked
   by frequency.
 
+`scan_paragraphs` then carries the repairs out: without headers and page numbers, with the
+parts of broken words joined and the corrections put in, the lines become paragraphs.
+
 Defined results: rows repeated exactly count once; words without box join the line before;
 null or empty text is no case; a reading without words gives nothing; an empty table gives
 an empty result; extra columns are ignored; lines and pages of any length are read whole.
@@ -46,6 +49,8 @@ CONFUSIONS = (
 BREAK_MARKS = "-­¬‐‑–~_"
 _SURE_MARKS = "­¬‐‑~_"
 _EDGE = r"^[.,;:\[\]\"'¡!¿?«»$—–)…·]+|[.,;:\[\]\"'¡!¿?«»$—)…·]+$"
+_EDGE_BRACKET = r"^[(.,;:\[\]\"'¡!¿?«»$—–)…·]+|[.,;:\[\]\"'¡!¿?«»$—)…·]+$"
+_NUMBER_PREFIX = r"(?i)^[^0-9a-z]*(?:exp-)?"
 
 _PAGE_LABEL = r"(?:f[s5]|fojas?|folio|hoja|p[aá][g9]|pagina|f[o0][jli]a|f[o0]l[il1][o0]|h[o0]ja|fol)\b\.?"
 _DIGIT = r"[0-9oilzsbg]"
@@ -101,7 +106,7 @@ def lines_of(words: DataFrame, readings: DataFrame, pages: DataFrame) -> DataFra
     once = (
         words.where("word_id is not null and reading_id is not null and text <> ''")
         .groupBy("word_id")
-        .agg(F.min(F.struct("reading_id", "ord", "text", "x0", "y0")).alias("w"))
+        .agg(F.min(F.struct("reading_id", "ord", "text", "x0", "y0", *[c for c in words.columns if c == "x1"])).alias("w"))
         .select("word_id", "w.*")
     )
     order = W.partitionBy("reading_id").orderBy("ord", "word_id")
@@ -176,8 +181,10 @@ def vocabulary(placed: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def broken_words(flow: DataFrame, vocab: DataFrame) -> DataFrame:
-    """word_id of the first part of each word that a line or page end broke.
+    """word_id of the first part of each word that a line or page end broke, next_id of the other part, joined form.
 
+    `stem` is the first part as the whole word shows it. `compound` marks the compounds at a
+    line end, which keep their hyphen and are no broken words.
     `flow`: the words of the running text (no headers, no page numbers).
     """
     in_line = W.partitionBy("reading_id", "line")
@@ -185,14 +192,14 @@ def broken_words(flow: DataFrame, vocab: DataFrame) -> DataFrame:
         "last", F.row_number().over(in_line.orderBy(F.desc("place"))) == 1
     )
     ends = body.where("first or last").withColumn("rank", F.dense_rank().over(W.partitionBy("reading_id").orderBy("line")))
-    tops = ends.where("first").groupBy("reading_id", "rank").agg(F.min_by("text", "place").alias("next"))
+    tops = ends.where("first").groupBy("reading_id", "rank").agg(F.min_by(F.struct("text", "word_id"), "place").alias("next"))
     tails = ends.where("last").select("reading_id", "file_sha", "page_no", "route", "word_id", "text", "rank")
     inner = tails.join(tops.withColumn("rank", F.col("rank") - 1), ["reading_id", "rank"], "left")
     # The first line of the next page: of the same route if there is one.
     starts = (
         ends.where("first and rank = 1")
         .groupBy("file_sha", F.col("page_no").alias("of_page"), F.col("route").alias("of_route"))
-        .agg(F.min("text").alias("over"))
+        .agg(F.min(F.struct("text", "word_id")).alias("over"))
     )
     over = starts.groupBy("file_sha", (F.col("of_page") - 1).alias("page_no")).agg(
         F.map_from_entries(F.collect_list(F.struct("of_route", "over"))).alias("over")
@@ -201,10 +208,13 @@ def broken_words(flow: DataFrame, vocab: DataFrame) -> DataFrame:
     next_word = F.coalesce(
         F.col("next"), F.try_element_at("over", F.col("route")), F.try_element_at("over", F.lit("ocr_a")), F.element_at(F.map_values("over"), 1)
     )
-    parts = last.select("word_id", "text", next_word.alias("next"))
+    parts = last.select("word_id", "text", next_word.alias("after")).select("word_id", "text", F.col("after.text").alias("next"), F.col("after.word_id").alias("next_id"))
     left = F.regexp_replace(bare(F.col("text")), f"[{BREAK_MARKS}]+$", "")
     parts = parts.select(
         "word_id",
+        "next_id",
+        "next",
+        F.regexp_replace("text", f"[{BREAK_MARKS}]+$", "").alias("stem"),
         F.regexp_extract("text", f"([{BREAK_MARKS}])$", 1).alias("mark"),
         F.regexp_replace("text", r"[^.,;:)]", "").alias("stop"),
         left.alias("a"),
@@ -231,7 +241,9 @@ def broken_words(flow: DataFrame, vocab: DataFrame) -> DataFrame:
         .when(marked, F.col("lower") & (F.least("n_a", "n_b") <= 2) & (F.length("a") > 1))
         .otherwise(known & unknown_part & F.col("lower") & (F.col("stop") == "") & (F.col("n_joined") >= 3))
     )
-    return looked.where(broken).select("word_id")
+    compound = marked & (F.col("n_compound") > F.col("n_joined"))
+    stem = F.when(compound, F.concat("stem", F.lit("-"))).otherwise(F.col("stem"))
+    return looked.where(broken | compound).select("word_id", "next_id", stem.alias("stem"), F.concat(stem, "next").alias("joined"), compound.alias("compound")).distinct()
 
 
 def _anagram(col: Column) -> Column:
@@ -263,10 +275,11 @@ def confusion_steps(shown: str, meant: str, most: int = 3) -> int | None:
     return best.get((len(shown), len(meant)))
 
 
-def corrections(vocab: DataFrame, forms: DataFrame, ratio: float = 8.0) -> DataFrame:
+def corrections(vocab: DataFrame, forms: DataFrame, ratio: float = 8.0, joined: DataFrame | None = None) -> DataFrame:
     """word, correction: the most likely frequent variant of each rare or unknown form.
 
     `forms` has the distinct bare words of the readings with their counts (word, seen).
+    `joined` has further forms to correct, which do not count as seen.
     """
     single = {(_value(b) - _value(a)) for a, b in CONFUSIONS}
     deltas = sorted(single | {x + y for x in single for y in single} - {0})
@@ -276,8 +289,9 @@ def corrections(vocab: DataFrame, forms: DataFrame, ratio: float = 8.0) -> DataF
     ).select(
         F.col("word").alias("meant"), no_accent(F.col("word")).alias("meant_plain"), F.col("n").alias("n_meant")
     ).withColumn("value", _anagram(F.col("meant_plain")))
+    asked = forms if joined is None else forms.unionByName(joined.join(forms, "word", "left_anti"))
     rare = (
-        forms.join(vocab, "word", "left")
+        asked.join(vocab, "word", "left")
         .select("word", F.coalesce("n", "seen").alias("n"), F.coalesce("native", F.lit(0)).alias("native"), no_accent(F.col("word")).alias("plain"))
         .where("native = 0 and length(word) >= 2 and word rlike '[a-z]'")
         .withColumn("own", _anagram(F.col("plain")))
@@ -298,31 +312,135 @@ def corrections(vocab: DataFrame, forms: DataFrame, ratio: float = 8.0) -> DataF
     return checked.groupBy("word").agg(F.min(rank)["meant"].alias("correction"))
 
 
-def scan_repairs(words: DataFrame, readings: DataFrame, pages: DataFrame) -> DataFrame:
-    """word_id, kind of every word that a repair has to treat, with the correction of misread ones."""
+def _put(text: Column, core: str, correction: Column) -> Column:
+    """The text with the correction in place of its core: the case and the marks around stay."""
+    upper, lower = (F.length(F.regexp_replace(text, rf"\P{{{k}}}", "")) for k in ("Lu", "Ll"))
+    inside = F.regexp_replace(text, core, "")
+    cased = (
+        F.when((upper > lower) & (upper > 1), F.upper(correction))
+        .when(inside.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(correction, 1, 1)), correction.substr(F.lit(2), F.length(correction))))
+        .otherwise(correction)
+    )
+    head, tail = core.split("|")
+    return F.concat(F.regexp_extract(text, head, 0), cased, F.regexp_extract(text, tail, 0))
+
+
+def _in_digits(text: Column) -> Column:
+    """A number with the letters in it as the digits they look like; the prefix of a file number stays."""
+    prefix = F.regexp_extract(text, _NUMBER_PREFIX, 0)
+    return F.concat(prefix, F.translate(text.substr(F.length(prefix) + 1, F.length(text)), "oOiIlLzZsSbBgG", "00111122556896"))
+
+
+def _tagged(words: DataFrame, readings: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The placed words with their kind at the edge, the vocabulary, and the parts of words to join."""
     placed = cut_lineage(lines_of(words, readings, pages))
     edges = cut_lineage(running_lines(placed))
     tagged = placed.join(edges, ["reading_id", "line"], "left").withColumn("kind", F.try_element_at("kinds", F.col("place"))).drop("kinds")
     tagged = cut_lineage(tagged)
     vocab = cut_lineage(vocabulary(tagged.where("kind is null"), pages))
-    flow = tagged.where("kind is null")
-    hyphens = broken_words(flow, vocab).distinct().withColumn("broken", F.lit(True))
-    rest = cut_lineage(flow.join(hyphens, "word_id", "left").withColumn("word", bare(F.col("text"))))
-    open_words = rest.where("broken is null")
+    return tagged, vocab, cut_lineage(broken_words(tagged.where("kind is null"), vocab))
+
+
+def _misread(tagged: DataFrame, vocab: DataFrame, links: DataFrame, joined: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """word_id, correction of the misread words, and the corrections of forms they come from."""
+    broken = links.where("not compound").select("word_id")
+    open_words = cut_lineage(tagged.where("kind is null").join(broken, "word_id", "left_anti").withColumn("word", bare(F.col("text"))))
     # An opening bracket may be a misread c or just a bracket: both forms are looked up.
     inner = F.regexp_replace("word", r"^\(+", "")
     open_words = open_words.withColumn("inner", inner)
     forms = open_words.select(F.explode(F.array_distinct(F.array("word", "inner"))).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("seen"))
-    fixes = cut_lineage(corrections(vocab, forms))
+    fixes = cut_lineage(corrections(vocab, forms, joined=joined))
     compact = F.regexp_replace(F.col("inner"), r"^exp-|[./,°º\-]", "")
     # A number with letters that look like digits, unless it reads as a code.
     number = compact.rlike(r"^[0-9oilzsbg]+$") & compact.rlike(r"[0-9]") & compact.rlike(r"[a-z]") & (
         F.length(F.regexp_replace(compact, r"[0-9]", "")) <= F.length(F.regexp_replace(compact, r"[a-z]", ""))
     ) & (F.length(compact) >= 2)
     direct = open_words.join(fixes, "word", "left").join(fixes.toDF("inner", "within"), "inner", "left")
-    fixed = direct.withColumn("correction", F.coalesce("correction", "within")).where(F.col("correction").isNotNull() | number)
+    text = F.col("text")
+    put = (
+        F.when(F.col("correction").isNotNull(), _put(text, _EDGE, F.col("correction")))
+        .when(F.col("within").isNotNull(), _put(text, _EDGE_BRACKET, F.col("within")))
+        .when(number, _in_digits(text))
+    )
+    return direct.select("word_id", put.alias("correction")).where("correction is not null"), fixes
+
+
+def scan_repairs(words: DataFrame, readings: DataFrame, pages: DataFrame) -> DataFrame:
+    """word_id, kind of every word that a repair has to treat, and the text to put in its place.
+
+    That is the whole word for the first part of a broken one; headers and page numbers have none.
+    """
+    tagged, vocab, links = _tagged(words, readings, pages)
+    fixed, _ = _misread(tagged, vocab, links)
     return (
         tagged.where("kind is not null").select("word_id", "kind", F.lit(None).cast("string").alias("correction"))
-        .unionByName(rest.where("broken").select("word_id", F.lit("hyphen").alias("kind"), F.lit(None).cast("string").alias("correction")))
+        .unionByName(links.where("not compound").select("word_id", F.lit("hyphen").alias("kind"), F.col("joined").alias("correction")))
         .unionByName(fixed.select("word_id", F.lit("misread").alias("kind"), "correction"))
     )
+
+
+def paragraph_starts(flow: DataFrame, links: DataFrame, gap: float = 1.4, short: float = 0.2) -> DataFrame:
+    """reading_id, line, paragraph of the lines of the running text.
+
+    A paragraph starts where the step between lines is more than `gap` times the usual one of
+    the file, or after a line that had room for the next word and `short` of the width besides;
+    never inside a broken word.
+    """
+    lines = flow.groupBy("file_sha", "reading_id", "line").agg(
+        F.min_by("y0", "place").alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+        F.min_by(F.col("x1") - F.col("x0"), "place").alias("first_width"), F.min_by("word_id", "place").alias("first_id"),
+    )
+    order, page = W.partitionBy("reading_id").orderBy("line"), W.partitionBy("reading_id")
+    stepped = lines.withColumn("step", F.col("y") - F.lag("y").over(order))
+    usual = stepped.where("step > 0").groupBy("file_sha").agg(F.percentile_approx("step", 0.5, 10000).alias("usual"))
+    joined = links.select(F.col("next_id").alias("first_id"), F.lit(True).alias("joined")).distinct()
+    right, width = F.max("x1").over(page), F.max("x1").over(page) - F.min("x0").over(page)
+    room = F.lag("x1").over(order) + F.col("first_width") + F.lit(short) * width < right
+    opens = (F.coalesce(F.col("step") > F.lit(gap) * F.col("usual"), F.lit(False)) | F.coalesce(room, F.lit(False))) & F.col("joined").isNull()
+    told = stepped.join(usual, "file_sha", "left").join(joined, "first_id", "left").withColumn("opens", opens.cast("int"))
+    return told.select("reading_id", "line", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("paragraph"))
+
+
+def scan_paragraphs(words: DataFrame, readings: DataFrame, pages: DataFrame) -> DataFrame:
+    """reading_id, paragraph (from 1), text: the paragraphs of each reading, repaired.
+
+    A word that the page end broke stands whole where it begins, and its rest is taken from the
+    reading of the next page that completes it. What has no correction stays as it was read.
+    """
+    tagged, vocab, links = _tagged(words, readings, pages)
+    flow = tagged.where("kind is null")
+    form = bare(F.col("joined"))
+    fixed, fixes = _misread(tagged, vocab, links, links.where("not compound").groupBy(form.alias("word")).agg(F.count("*").alias("seen")).where("word <> ''"))
+    order = W.partitionBy("reading_id").orderBy("line", "place")
+    linked = flow.join(links.select("word_id", "next_id", "stem", "compound"), "word_id", "left").join(fixed, "word_id", "left")
+    follows = F.coalesce(F.lag("next_id").over(order) == F.col("word_id"), F.lit(False))
+    in_broken = F.coalesce(~F.col("compound"), F.lit(False)) | F.coalesce(follows & ~F.lag("compound").over(order), F.lit(False))
+    # A word that ends a compound or stands alone is corrected by itself, a broken one as a whole.
+    own = F.when(in_broken, F.coalesce("stem", "text")).otherwise(
+        F.when(F.col("compound"), F.concat(F.regexp_replace(F.coalesce("correction", "text"), f"[{BREAK_MARKS}]+$", ""), F.lit("-"))).otherwise(
+            F.coalesce("correction", "text")
+        )
+    )
+    parts = linked.withColumn("own", own).withColumn("in_broken", in_broken).withColumn("unit", F.sum((~follows).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    units = cut_lineage(
+        parts.groupBy("reading_id", "unit").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "place", "own"))), lambda p: p["own"]), "").alias("shown"),
+            F.min_by("word_id", F.struct("line", "place")).alias("first_id"), F.min("line").alias("line"),
+            F.max_by("next_id", F.struct("line", "place")).alias("over_id"),
+            F.max_by("text", F.struct("line", "place")).alias("last_text"), F.count("*").alias("n"), F.max("in_broken").alias("whole"),
+        )
+    )
+    # Over the page end: a unit that is itself the rest of a word takes nothing more.
+    rests = units.join(units.where("over_id is not null").select(F.col("over_id").alias("first_id")).distinct(), "first_id", "left_semi")
+    crossing = units.where("over_id is not null").join(rests.select("first_id"), "first_id", "left_anti")
+    taken = cut_lineage(crossing.select("first_id", "over_id").join(rests.select(F.col("first_id").alias("over_id"), F.col("shown").alias("rest")), "over_id"))
+    kept = units.join(taken.select("first_id", "rest"), "first_id", "left").join(taken.select(F.col("over_id").alias("first_id")).distinct(), "first_id", "left_anti")
+    alone = F.col("over_id").isNotNull() & F.col("rest").isNull() & (F.col("n") == 1)
+    kept = kept.withColumn("shown", F.when(alone, F.col("last_text")).otherwise(F.concat("shown", F.coalesce("rest", F.lit("")))))
+    mended = kept.withColumn("word", F.when(F.col("whole"), bare(F.col("shown")))).join(fixes, "word", "left")
+    mended = mended.withColumn("shown", F.when(F.col("correction").isNotNull(), _put(F.col("shown"), _EDGE, F.col("correction"))).otherwise(F.col("shown")))
+    texts = mended.join(paragraph_starts(flow, links), ["reading_id", "line"]).groupBy("reading_id", "paragraph").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit", "shown"))), lambda u: u["shown"]), " ").alias("text")
+    )
+    number = F.row_number().over(W.partitionBy("reading_id").orderBy("paragraph"))
+    return texts.select("reading_id", number.alias("paragraph"), "text")

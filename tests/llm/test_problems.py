@@ -237,6 +237,53 @@ def test_scan_repairs_of_nothing(spark):
     assert scans.scan_repairs(words, readings.where("false"), pages).count() == 0
 
 
+def test_scan_repairs_keep_the_joined_form_and_digits(spark):
+    (words, readings, pages), text = scanned(spark)
+    got = {text[r.word_id]: r.correction for r in scans.scan_repairs(words, readings, pages).collect()}
+    assert got["docu-"] == "documentación" and got["cará¬"] == "carácter" and got["20l6"] == "2016"
+
+
+def test_scan_paragraphs(spark):
+    """Headers and numbers go, broken and misread words are whole, also over the page end."""
+    (words, readings, pages), _ = scanned(spark)
+    more, n = [], 10_000
+    for page, y, line in (
+        (1, 216.0, "El 1nforme 20l6 remite la"), (1, 230.0, "obra. INF0RME Central y la docu-"),
+        (2, 40.0, "mentación de la oficina."), (2, 54.0, "Obra"), (2, 68.0, "técnico-"), (2, 82.0, "administrativa en curso con la ofi-"), (2, 96.0, "cina centra1"),
+    ):
+        x = 60.0
+        for w in line.split(" "):
+            n += 1
+            more.append((n, page + 100, n, w, x, y))
+            x += 6.0 * len(w)
+    words = words.unionByName(spark.createDataFrame(more, words.schema)).withColumn("x1", F.col("x0") + 5 * F.length("text"))
+    readings = readings.unionByName(spark.createDataFrame([(101, 101, "ocr_a"), (102, 102, "ocr_a")], readings.schema))
+    pages = pages.unionByName(spark.createDataFrame([(101, "h", 1, None), (102, "h", 2, None)], pages.schema))
+    got = defaultdict(list)
+    for r in scans.scan_paragraphs(words, readings, pages).orderBy("reading_id", "paragraph").collect():
+        got[r.reading_id].append(r.text)
+        assert r.paragraph == len(got[r.reading_id])
+    first = " ".join(got[1])
+    assert "Expte." not in first and "fs." not in first and first.endswith("con carácter urgente del central 2016 A4 suelta")
+    assert "la documentación de la obra técnico-administrativa con" in first
+    assert " ".join(got[101]) == "El informe 2016 remite la obra. INFORME Central y la documentación"
+    assert " ".join(got[102]) == "de la oficina. Obra técnico-administrativa en curso con la oficina central"
+    assert got[102][0] == "de la oficina."
+
+
+def test_paragraphs_start_at_gaps_and_after_short_lines(spark):
+    at = [(0, 80.0, 500.0), (1, 94.0, 490.0), (2, 120.0, 498.0), (3, 134.0, 100.0), (4, 148.0, 495.0), (5, 162.0, 300.0)]
+    flow = spark.createDataFrame(
+        [(10 * k + j, "f", 1, k, j, y, x, e) for k, y, end in at for j, (x, e) in enumerate([(60.0, 90.0), (95.0, end)], 1)],
+        "word_id bigint, file_sha string, reading_id bigint, line int, place int, y0 double, x0 double, x1 double",
+    )
+    none = spark.createDataFrame([], "next_id bigint")
+    got = scans.paragraph_starts(flow, none).orderBy("line").collect()
+    assert [r.paragraph for r in got] == [0, 0, 1, 1, 2, 2]
+    inside = spark.createDataFrame([(21,)], "next_id bigint")
+    assert scans.paragraph_starts(flow, inside).where("line = 2").first().paragraph == 0
+
+
 # Packs.
 
 
