@@ -28,6 +28,7 @@ an empty result; extra columns are ignored; lines and pages of any length are re
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -78,22 +79,48 @@ def _same_line(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= limit and weighted_damerau(a, b, limit) <= limit
 
 
-def edge_kinds(words: list[str], running: list[str]) -> list[str | None]:
-    """`header`, `pageno` or None for each word of an edge line."""
-    line = _plain(" ".join(words))
-    if any(_same_line(line, r) for r in running):
-        return ["header"] * len(words)
+def _may_be_same(a: str, b: str, grams_a: Counter, grams_b: Counter) -> bool:
+    """False only if `_same_line` is: a cost of 0.25 is the least that takes a pair of letters away."""
+    longer = max(len(a), len(b))
+    return (longer - 1 - (grams_a & grams_b).total()) * 0.25 <= 0.75 + 0.12 * longer
+
+
+def lines_among(lines: list[str], running: list[str]) -> list[str]:
+    """The lines that equal one of the running ones up to misread characters; what was met last is tried first."""
+    grams = lambda t: Counter(t[i : i + 2] for i in range(len(t) - 1))
+    exact, order, found = set(running), [(r, grams(r)) for r in running], []
+    for line in lines:
+        if line in exact:
+            found.append(line)
+            continue
+        own = grams(line)
+        for i, (r, g) in enumerate(order):
+            if _may_be_same(line, r, own, g) and _same_line(line, r):
+                found.append(line)
+                order.insert(0, order.pop(i))
+                break
+    return found
+
+
+def edge_readings(words: list[str]) -> list[tuple[str | None, list[str]]]:
+    """How an edge line can be read, best first: the running line it would hold (None: none needed) and the kinds."""
+    line, n = _plain(" ".join(words)), len(words)
+    ways: list[tuple[str | None, list[str]]] = [(line, ["header"] * n)]
     if is_page_number(line):
-        return ["pageno"] * len(words)
-    n = len(words)
+        return [*ways, (None, ["pageno"] * n)]
     for cut in range(1, min(n, 7)):
         head, tail = words[: n - cut], words[n - cut :]
-        if is_page_number(" ".join(tail)) and any(_same_line(_plain(" ".join(head)), r) for r in running):
-            return ["header"] * len(head) + ["pageno"] * cut
+        if is_page_number(" ".join(tail)):
+            ways.append((_plain(" ".join(head)), ["header"] * len(head) + ["pageno"] * cut))
         head, tail = words[:cut], words[cut:]
-        if is_page_number(" ".join(head)) and any(_same_line(_plain(" ".join(tail)), r) for r in running):
-            return ["pageno"] * cut + ["header"] * len(tail)
-    return [None] * n
+        if is_page_number(" ".join(head)):
+            ways.append((_plain(" ".join(tail)), ["pageno"] * cut + ["header"] * len(tail)))
+    return ways
+
+
+def edge_kinds(words: list[str], held: set[str]) -> list[str | None]:
+    """`header`, `pageno` or None for each word of an edge line; `held` has the running lines it may hold."""
+    return next((list(k) for line, k in edge_readings(words) if line is None or line in held), [None] * len(words))
 
 
 def bare(col: Column) -> Column:
@@ -122,7 +149,7 @@ def lines_of(words: DataFrame, readings: DataFrame, pages: DataFrame) -> DataFra
     return placed.join(where, "reading_id")
 
 
-def running_lines(placed: DataFrame, margin: float = 150.0, most: int = 8) -> DataFrame:
+def running_lines(placed: DataFrame, margin: float = 150.0) -> DataFrame:
     """reading_id, line, kinds: the kind of each word of the edge lines that have any."""
     edge = placed.where("line <= 3 or line >= last_line - 2")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), " ")
@@ -151,21 +178,36 @@ def running_lines(placed: DataFrame, margin: float = 150.0, most: int = 8) -> Da
     chosen = (
         known.groupBy("file_sha", "part")
         .agg(F.countDistinct("page_id").alias("pages"), F.max((F.col("x0") > margin) | F.coalesce("seen", F.lit(False))).alias("runs"))
-        .where("runs")
-        .withColumn("rank", F.row_number().over(W.partitionBy("file_sha").orderBy(F.desc("pages"), "part")))
-        .where(F.col("rank") <= most)
-        .groupBy("file_sha")
-        .agg(F.sort_array(F.collect_list("part")).alias("running"))
+        .where("runs and file_sha is not null")
     )
 
     @F.pandas_udf("array<string>")
-    def kinds(t: pd.Series, running: pd.Series) -> pd.Series:
-        return pd.Series([edge_kinds(s.split(" "), [] if r is None else list(r)) for s, r in zip(t, running, strict=True)])
+    def held(t: pd.Series) -> pd.Series:
+        return t.map(lambda s: list({line for line, _ in edge_readings(s.split(" ")) if line is not None}))
+
+    @F.pandas_udf("array<string>")
+    def among(asked: pd.Series, running: pd.Series) -> pd.Series:
+        return pd.Series([lines_among(list(a), list(r)) for a, r in zip(asked, running, strict=True)])
 
+    @F.pandas_udf("array<string>")
+    def kinds(t: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([edge_kinds(s.split(" "), set() if f is None else set(f)) for s, f in zip(t, found, strict=True)])
+
+    # Lines meet the running lines of their file whose length allows it, by eights of the length.
+    texts = lines.where("file_sha is not null").select("file_sha", "text").distinct()
+    asked = cut_lineage(texts.select("file_sha", "text", F.explode(held("text")).alias("part")))
+    n = F.length("part")
+    slots = F.sequence(F.floor(F.greatest(F.lit(0), 0.88 * n - 0.75) / 8), F.floor((n + 0.75) / 0.88 / 8))
+    known_parts = chosen.select("file_sha", "part", "pages", F.explode(slots).alias("slot")).groupBy("file_sha", "slot").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(-F.col("pages"), "part"))), lambda p: p["part"]).alias("running")
+    )
+    by_slot = asked.select("file_sha", "part", F.floor(n / 8).alias("slot")).groupBy("file_sha", "slot").agg(F.collect_set("part").alias("asked"))
+    hits = by_slot.join(known_parts, ["file_sha", "slot"]).select("file_sha", F.explode(among("asked", "running")).alias("part"))
+    found = asked.join(hits, ["file_sha", "part"]).groupBy("file_sha", "text").agg(F.collect_set("part").alias("found"))
     # Texts keep their own blanks out, so that the words can be told apart again.
     return (
-        lines.join(chosen, "file_sha", "left")
-        .select("reading_id", "line", kinds("text", "running").alias("kinds"))
+        lines.join(found, ["file_sha", "text"], "left")
+        .select("reading_id", "line", kinds("text", "found").alias("kinds"))
         .where(F.exists("kinds", lambda k: k.isNotNull()))
     )
 
