@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.session import cut_lineage
@@ -81,3 +82,62 @@ def constrained_groups(edges: DataFrame, part: str, a: str, b: str, order: str,
     kinds = dict(edges.dtypes)
     sorted_edges = edges.repartition(part).sortWithinPartitions(part, order, a, b)
     return sorted_edges.mapInPandas(walk, f"{part} {kinds[part]}, node {kinds[a]}, group {kinds[a]}")
+
+
+def constrained_cliques(members: DataFrame, part: str, key: str, node: str, label: str) -> DataFrame:
+    """part, node, group: as `constrained_groups` over all pairs of nodes that share a key, in order of the nodes.
+
+    Only the links from the first node of each key to its others are walked. After them, the
+    nodes of a key are one group or all labelled, so that the pairs left out can only join
+    groups of the same label, which happens at the end. Time and memory of a part are its rows.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root: dict = {}
+        labels: dict = {}
+        held: list = []
+        current = None
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def unite(x, y) -> None:
+            rx, ry = find(x), find(y)
+            if rx == ry or (labels[rx] and labels[ry] and labels[rx] != labels[ry]):
+                return
+            low, high = min(rx, ry), max(rx, ry)
+            root[high] = low
+            labels[low] = labels[low] or labels[high]
+
+        def rows() -> pd.DataFrame:
+            first: dict = {}
+            for k, n in held:
+                if (seen := labels[find(n)]) is not None:
+                    unite(first.setdefault((k, seen), n), n)
+            return pd.DataFrame([(current, n, find(n)) for n in root], columns=[part, "node", "group"])
+
+        for batch in batches:
+            for p, k, x, y, lx, ly in batch.itertuples(index=False):
+                if p != current:
+                    if root:
+                        yield rows()
+                    root, labels, held, current = {}, {}, [], p
+                for n, told in ((x, lx), (y, ly)):
+                    if n not in root:
+                        root[n] = n
+                        labels[n] = told if isinstance(told, str) else None
+                held.append((k, y))
+                unite(x, y)
+        if root:
+            yield rows()
+
+    kinds = dict(members.dtypes)
+    once = members.where(F.col(key).isNotNull() & F.col(node).isNotNull()).select(part, key, node, label).distinct()
+    w = W.partitionBy(part, key)
+    star = once.withColumn("first", F.min(F.struct(node, label)).over(w)).withColumn("size", F.count("*").over(w)).where("size > 1")
+    rows_in = star.select(part, key, F.col(f"first.{node}").alias("x"), F.col(node).alias("y"), F.col(f"first.{label}").alias("lx"), F.col(label).alias("ly"))
+    # The first node stands in its own key too (a link to itself joins nothing).
+    return rows_in.repartition(part).sortWithinPartitions(part, "x", "y", key).mapInPandas(walk, f"{part} {kinds[part]}, node {kinds[node]}, group {kinds[node]}")

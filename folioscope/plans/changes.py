@@ -122,7 +122,5 @@ def procurement_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of a case grouped by shared suppliers, never across two procedures."""
     p = views.latest_lines(table(spark, folder, "price_lines", "line_id", "loaded_at", "case_id", "document_id", "supplier_tax_id", "procurement_id"))
     label = p.groupBy("case_id", "document_id").agg(F.min(F.col("procurement_id").cast("string")).alias("label"))
-    keyed = p.where("supplier_tax_id is not null").withColumn("key", F.struct("case_id", "supplier_tax_id"))
-    links = ordered.chain(keyed, "key", "document_id").select(F.col("key.case_id").alias("case_id"), F.col("document_id").alias("a"), F.col("next").alias("b")).distinct()
-    named = links.join(label.toDF("case_id", "a", "label_a"), ["case_id", "a"]).join(label.toDF("case_id", "b", "label_b"), ["case_id", "b"])
-    return graph.constrained_groups(named, "case_id", "a", "b", "a", "label_a", "label_b")
+    held = p.where("supplier_tax_id is not null").select("case_id", "document_id", "supplier_tax_id").distinct().join(label, ["case_id", "document_id"])
+    return graph.constrained_cliques(held, "case_id", "supplier_tax_id", "document_id", "label")
