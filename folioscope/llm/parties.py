@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from folioscope.functions.edit import weighted_damerau
 from folioscope.functions.text import py_fold
 from folioscope.llm.trie import Trie, bound_for
+from folioscope.operators.graph import components
 from folioscope.session import cut_lineage
 
 # Given names and their familiar or short forms.
@@ -79,73 +80,125 @@ class Party(NamedTuple):
     legal: str
 
 
+@lru_cache(maxsize=200_000)
 def _given(word: str) -> str | None:
-    """The given name a word stands for."""
+    """The listed given name a word stands for."""
     if word in GIVEN:
         return word
     if word in _NICK:
         return _NICK[word]
-    near = sorted((weighted_damerau(word, w, 2.0), w) for w, _ in _GIVEN_TRIE.neighbours(word, 2 if len(word) > 3 else 0))
-    most = 1.0 if len(word) < 5 else 2.0 if near and max(len(word), len(near[0][1])) > 6 else 1.3
+    # Mario isn't Maria mistyped, nor Daniela Daniel.
+    other = lambda w: {word[-1], w[-1]} == {"a", "o"} or word == w + "a" or w == word + "a"
+    near = sorted((weighted_damerau(word, w, 2.0), w) for w, _ in _GIVEN_TRIE.neighbours(word, 2 if len(word) > 3 else 0) if not other(w))
+    most = 1.0 if len(word) < 5 else 2.0 if near and max(len(word), len(near[0][1])) > 6 and word[0] == near[0][1][0] else 1.3
     return near[0][1] if near and near[0][0] <= most else None
 
 
+@lru_cache(maxsize=200_000)
 def _near(word: str, trie: Trie, bound: int = 1) -> str | None:
     """The nearest word of a trie, neighbour swaps included."""
     found = sorted((weighted_damerau(word, w, 1.3), w) for w, _ in trie.neighbours(word, bound + 1))
     return found[0][1] if found and found[0][0] <= 1.0 else None
 
 
-@lru_cache(maxsize=100_000)
-def parse_party(name: str) -> Party:
-    """Take a name apart."""
-    text = py_fold(name).replace("&", " y ")
-    comma = "," in text
-    before = [w for w in re.split(r"[\s.]+", text.split(",")[0]) if w]
-    words = [w for w in re.split(r"[\s.,;:()\-/]+", text) if w]
-    if words and words[0] in TITLES:
-        words, before = words[1:], [w for w in before if w not in TITLES]
+def words_of(name: str) -> list[str]:
+    """The folded words of a name, without a title before it."""
+    words = [w for w in re.split(r"[\s.,;:()\-/]+", py_fold(name).replace("&", " y ")) if w]
+    return words[1:] if len(words) > 1 and words[0] in TITLES else words
+
+
+def _without_legal(words: list[str]) -> tuple[list[str], str]:
+    """The words without the legal form, and the form."""
     fixed = [(_near(w, _FORM_TRIE) or w) if len(w) > 4 else w for w in words]
-    joined, legal = " " + " ".join(fixed) + " ", ""
+    joined = " " + " ".join(fixed) + " "
     for written, form in LEGAL:
         if f" {written} " in joined and (joined.endswith(f" {written} ") or len(written) > 3):
-            joined, legal = joined.replace(f" {written} ", " ", 1), form
+            return joined.replace(f" {written} ", " ", 1).split(), form
+    return fixed, ""
+
+
+def _firm(words: list[str], legal: str, trades: set[str]) -> Party:
+    joined, branch = " " + " ".join(words) + " ", ""
+    for written, form in BRANCHES:
+        if f" {written} " in joined:
+            joined, branch = joined.replace(f" {written} ", " ", 1), form
             break
-    trades = set()
-    rest = []
-    has_dots = "." in text
-    for w in joined.split():
+    return Party(True, (), tuple(w for w in joined.split() if w != "y"), min(trades) if trades else "", branch, legal)
+
+
+def _person_ways(words: list[str], before: int, told: dict[str, str]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+    """The ways to share the words of a person out into given names and surnames, likeliest first.
+
+    `before` is the number of words before a comma (0: no comma). What the comma doesn't say
+    is told by initials, by the corpus (`told`), by the list of given names, and else by position:
+    given names stand together, before the surnames or after them.
+    """
+    full = {w: _NICK.get(w, w) for w in words}
+    if before:
+        return [(tuple(_given(w) or w if len(w) > 1 else w for w in words[before:]), tuple(words[:before]))]
+    sure = {w: "g" if len(w) == 1 or w in GIVEN or w in _NICK else told.get(w, "") for w in words}
+    near = {w: g for w in words if not sure[w] and (g := _given(w))}
+    n = len(words)
+
+    def fits(k: int, given_first: bool, guess: bool) -> bool:
+        wanted = ["g"] * k + ["c"] * (n - k) if given_first else ["c"] * (n - k) + ["g"] * k
+        if all(len(w) == 1 for w, r in zip(words, wanted, strict=True) if r == "c"):
+            return False
+        return all((sure[w] or ("g" if guess and w in near else r)) == r or (len(w) == 1 and r == "c" and 0 < i < n - 1) for i, (w, r) in enumerate(zip(words, wanted, strict=True)))
+
+    ways, seen = [], set()
+    for guess in (True, False):
+        for given_first in (True, False):
+            # Of several shares the one with two given names at most and two surnames at most is likelier.
+            for k in sorted(range(1, n), key=lambda k: (max(k, n - k) > 2, k)):
+                if (k, given_first) not in seen and fits(k, given_first, guess):
+                    seen.add((k, given_first))
+                    given, core = (words[:k], words[k:]) if given_first else (words[n - k :], words[: n - k])
+                    ways.append((tuple(near.get(w, full[w]) for w in given), tuple(core)))
+    if not ways:
+        # Given names on both sides, or nothing but given names.
+        given = [near.get(w, full[w]) for w in words if len(w) == 1 or sure[w] == "g" or (w in near and not sure[w])]
+        core = [w for w in words if not (len(w) == 1 or sure[w] == "g" or (w in near and not sure[w]))]
+        if not core and n > 1:
+            core = [words[-1]]
+            given = [g for g in given if g != near.get(core[0], full[core[0]])]
+        ways.append((tuple(given), tuple(core or words)))
+    return ways
+
+
+@lru_cache(maxsize=100_000)
+def parse_party(name: str, hint: str = "") -> tuple[Party, ...]:
+    """The ways to take a name apart, likeliest first.
+
+    `hint` has what the corpus tells of its words, as `word:role` with roles g (given name),
+    c (surname or a firm's own name) and t (trade).
+    """
+    told = dict(h.rsplit(":", 1) for h in hint.split())
+    words = words_of(name)
+    kept, legal = _without_legal(words)
+    trades, rest = set(), []
+    has_dots = "." in name
+    for w in kept:
         known = w if w in _TRADE_WORDS else _TRADE_SHORT.get(w) if (legal or has_dots) else None
-        if not known and len(w) > 5:
+        if not known and len(w) > 5 and told.get(w) != "g":
             known = _near(w, _TRADE_TRIE)
         if known:
             trades.add(_TRADE_WORDS.get(known, known))
         else:
             rest.append(w)
     if legal or trades:
-        joined, branch = " " + " ".join(rest) + " ", ""
-        for written, form in BRANCHES:
-            if f" {written} " in joined:
-                joined, branch = joined.replace(f" {written} ", " ", 1), form
-                break
-        core = tuple(w for w in joined.split() if w != "y")
-        return Party(True, (), core, min(trades) if trades else "", branch, legal)
-    given, core = [], []
-    for w in words:
-        if len(w) == 1:
-            given.append(w)
-        elif full := _given(w):
-            given.append(full)
-        else:
-            core.append(w)
-    if not core and len(words) > 1:
-        core = [before[-1] if comma and before else words[-1]]
-        given = [g for g in given if g != _given(core[0])]
-    return Party(False, tuple(given), tuple(core), "", "", "")
+        return (_firm(rest, legal, trades),)
+    if "t" in told.values() and "g" not in told.values() and not any(w in GIVEN for w in words):
+        return (_firm(rest, legal, trades),)
+    if len(words) < 2:
+        return (Party(False, (), tuple(words), "", "", ""),)
+    folded = py_fold(name)
+    before = len(words_of(folded.split(",")[0])) if "," in folded and folded.split(",")[0].strip(" .") else 0
+    return tuple(Party(False, g, c, "", "", "") for g, c in _person_ways(words, before if before < len(words) else 0, {w: r for w, r in told.items() if r != "t"}))
 
 
 def _words_agree(a: str, b: str) -> bool:
-    """Equal but for typing errors, or one an initial or short form of the other."""
+    """Equal but for typing errors, or one an initial of the other."""
     if a == b:
         return True
     if min(len(a), len(b)) == 1:
@@ -155,21 +208,54 @@ def _words_agree(a: str, b: str) -> bool:
 
 
 def _given_agree(a: str, b: str) -> bool:
-    """Given names are complete words here, so only initials and equal names agree."""
-    return a == b or (min(len(a), len(b)) == 1 and a[0] == b[0])
+    """Whether two given names may be one: equal, an initial, or, off the list, a typing error or a short form.
+
+    Listed names are whole here, so two of them agree only if equal. Another last letter is
+    another name (Mario, Maria), not a typing error.
+    """
+    if a == b or (min(len(a), len(b)) == 1 and a[0] == b[0]):
+        return True
+    if min(len(a), len(b)) < 3 or (a in GIVEN and b in GIVEN):
+        return False
+    short, long = sorted((a, b), key=len)
+    if long.startswith(short) and len(long) >= len(short) + 2 and short not in GIVEN:
+        return True
+    return a[-1] == b[-1] and len(long) > 4 and weighted_damerau(a, b, 1.0) <= 1.0
+
+
+def _stands_for(a: str, b: str) -> bool:
+    """Whether two words of firm names are one, but for typing errors or an abbreviation by its first letters."""
+    short, long = sorted((a, b), key=len)
+    return _words_agree(a, b) or (len(short) > 2 and long.startswith(short))
 
 
-def compare(a: Party, b: Party) -> int:
-    """2: the same party; 1: fits, but parts are missing; 0: unlike; -1: alike but different."""
-    if a.firm != b.firm or not a.core or not b.core:
+def _firms(a: Party, b: Party) -> int:
+    """The words of two firms, one by one in any order; what is left over on both sides tells them apart."""
+    left, open_b = [], list(b.core)
+    for x in a.core:
+        y = next((y for y in open_b if x == y), None) or next((y for y in open_b if _stands_for(x, y)), None)
+        if y:
+            open_b.remove(y)
+        else:
+            left.append(x)
+    if len(left) == len(a.core):
         return 0
-    if a.firm:
-        if not any(_words_agree(x, y) for x in a.core for y in b.core):
-            return 0
-        parts = ((a.trade, b.trade), (a.branch, b.branch), (a.legal, b.legal))
-        if any(x and y and x != y for x, y in parts):
-            return -1
-        return 2 if all(x == y for x, y in parts) else 1
+    parts = ((a.trade, b.trade), (a.branch, b.branch), (a.legal, b.legal))
+    if (left and open_b) or any(x and y and x != y for x, y in parts):
+        return -1
+    return 2 if not left and not open_b and all(x == y for x, y in parts) else 1
+
+
+def _compare(a: Party, b: Party) -> int:
+    if not a.core or not b.core:
+        return 0
+    if a.firm and b.firm:
+        return _firms(a, b)
+    if a.firm or b.firm:
+        # A firm written without any mark of one: only if no word is left over.
+        f, p = (a, b) if a.firm else (b, a)
+        words = p.given + p.core
+        return 1 if len(words) > 1 and len(words) == len(f.core) and not f.branch and _firms(f, Party(True, (), words, f.trade, "", f.legal)) == 2 else 0
     # Persons: the first surnames agree, and so do second surnames where both have one.
     if not _words_agree(a.core[0], b.core[0]) or len(a.core[0]) == 1:
         crossed = any(_words_agree(x, y) for x in a.core for y in b.core if min(len(x), len(y)) > 1)
@@ -183,11 +269,21 @@ def compare(a: Party, b: Party) -> int:
         return -1
     if len(a.given) > 1 and len(b.given) > 1 and not _given_agree(a.given[1], b.given[1]):
         return -1
-    whole = len(a.given[0]) > 1 and len(b.given[0]) > 1
+    whole = a.given[0] == b.given[0] and len(a.given[0]) > 1
     complete = len(a.given) == len(b.given) and len(a.core) == len(b.core)
     return 2 if whole and complete and all(min(len(x), len(y)) > 1 for x, y in zip(a.given, b.given, strict=True)) else 1
 
 
+def compare(a: tuple[Party, ...], b: tuple[Party, ...]) -> int:
+    """2: the same party; 1: fits, but parts are missing; 0: unlike; -1: alike but different.
+
+    A pair fits if some way to take the two names apart makes it fit; if none does, the
+    likeliest way decides between unlike and different.
+    """
+    best = max(_compare(x, y) for x in a for y in b)
+    return best if best > 0 else _compare(a[0], b[0])
+
+
 def same_number(a: str | None, b: str | None) -> bool | None:
     """Whether two identification numbers agree up to one mistyped digit; None if one is missing."""
     if not a or not b:
@@ -195,12 +291,12 @@ def same_number(a: str | None, b: str | None) -> bool | None:
     return a == b or (len(a) == len(b) and weighted_damerau(a, b, 1.0, cheap=1.0) <= 1.0)
 
 
-def decide(name_a: str, name_b: str, id_a: str | None, id_b: str | None) -> int:
-    """`compare`, with the identification numbers."""
-    a, b = parse_party(name_a), parse_party(name_b)
-    level = compare(a, b)
+def decide(name_a: str, name_b: str, id_a: str | None, id_b: str | None, hint_a: str = "", hint_b: str = "") -> int:
+    """`compare`, with the identification numbers and what the corpus tells of the words (see `parse_party`)."""
+    level = compare(parse_party(name_a, hint_a), parse_party(name_b, hint_b))
     agree = same_number(id_a, id_b)
-    if sorted(py_fold(name_a).replace(",", " ").split()) == sorted(py_fold(name_b).replace(",", " ").split()):
+    bag_a, bag_b = (sorted(w for w in re.split(r"[\s.,]+", py_fold(n)) if w) for n in (name_a, name_b))
+    if bag_a and bag_a == bag_b:
         return 3
     if agree:
         return 3 if id_a == id_b or level > 0 else level
@@ -261,43 +357,116 @@ def trie_join(words: DataFrame, shard_words: int = 4000) -> DataFrame:
     return spread.groupBy("case_id", "lo", "hi").applyInPandas(join, "case_id string, word_a string, word_b string").distinct()
 
 
+def word_evidence(name: str) -> list[tuple[str, int, int, bool]]:
+    """word, signs of a given name, signs of a surname, whether in a firm: for each word of a name that needs them.
+
+    What follows a comma is a given name and what precedes it a surname; a word before an
+    inner initial is a given name, one after leading initials a surname.
+    """
+    kept, legal = _without_legal(words_of(name))
+    folded, out = py_fold(name), []
+    before = len(words_of(folded.split(",")[0])) if "," in folded and not legal else 0
+    for i, w in enumerate(kept):
+        if len(w) < 2 or w in GIVEN or w in _NICK or w in _TRADE_WORDS or (len(kept) < 2 and not legal):
+            continue
+        given, core = 0, 0
+        if before:
+            given, core = (0, 2) if i < before else (2, 0)
+        elif not legal and 0 < i and len(kept[i - 1]) == 1 and all(len(x) == 1 for x in kept[:i]):
+            core = 2
+        elif not legal and i == 0 and len(kept) > 2 and len(kept[1]) == 1 and len(kept[-1]) > 1:
+            given = 1
+        out.append((w, given, core, bool(legal)))
+    return out
+
+
+def word_roles(names: DataFrame, numbers: int = 10) -> DataFrame:
+    """word, role over the whole corpus: g (given name), c (surname or own name), t (trade); unclear words have no row.
+
+    A trade is a word of firms that stands in those of at least `numbers` identification numbers.
+    """
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(*e, i) for n, i in zip(b["name"], b["number"], strict=True) for e in word_evidence(n)]
+            yield pd.DataFrame(rows, columns=["word", "g", "c", "firm", "number"])
+
+    told = names.select("name", "number").mapInPandas(tell, "word string, g int, c int, firm boolean, number string")
+    sums = told.groupBy("word").agg(
+        F.sum("g").alias("g"), F.sum("c").alias("c"), F.count_if("firm").alias("f"), F.count("*").alias("n"), F.approx_count_distinct(F.when(F.col("firm"), F.col("number"))).alias("numbers")
+    )
+    role = (
+        F.when((F.col("numbers") >= numbers) & (F.col("f") * 2 > F.col("n")), "t")
+        .when((F.col("g") >= 2) & (F.col("g") >= 3 * F.col("c")), "g")
+        .when((F.col("c") >= 2) & (F.col("c") >= 3 * F.col("g")), "c")
+    )
+    return sums.select("word", role.alias("role")).where("role is not null")
+
+
+def with_hints(names: DataFrame) -> DataFrame:
+    """The names with the roles that the corpus gives to their words (see `parse_party`)."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(n, w) for n in b["name"] for w, *_ in word_evidence(n)], columns=["name", "word"])
+
+    words = names.select("name").distinct().mapInPandas(split, "name string, word string")
+    told = words.join(word_roles(names), "word").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "word", "role"))), " ").alias("hint"))
+    return names.join(told, "name", "left").select("case_id", "name", "number", F.coalesce("hint", F.lit("")).alias("hint"))
+
+
+def keys_of(name: str, hint: str) -> set[tuple[str, str]]:
+    """(word, first letter of the given name) under which a name meets those it may equal.
+
+    The letter is `*` where there is no given name and `#` for firms. A trade is no key if
+    there is another word; a name of single letters only is its own key.
+    """
+    ways, found = parse_party(name, hint), set()
+    trades = {h[:-2] for h in hint.split() if h.endswith(":t")}
+    for way in ways:
+        words = [w for w in way.core if len(w) > 1]
+        words = [w for w in words if w not in trades] or words
+        found |= {(w, "#" if way.firm else way.given[0][0] if way.given else "*") for w in words}
+    if not ways[0].firm and 1 < len(ways[0].given + ways[0].core) and len(ways) > 1:
+        found |= {(w, "#") for w in ways[0].given + ways[0].core if len(w) > 1}
+    return found or {(" ".join(sorted(words_of(name))) or py_fold(name), "*")}
+
+
 def link_parties(names: DataFrame) -> DataFrame:
-    """case_id, name_a, name_b: every pair of spellings of a case that mean the same party."""
+    """case_id, name_a, name_b: every pair of spellings of a case that mean the same party.
+
+    What was found equal is closed under transitivity, except for pairs that were found different.
+    """
 
     def core_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [
-                (c, n, i, w)
-                for c, n, i in zip(b["case_id"], b["name"], b["number"], strict=True)
-                for w in dict.fromkeys(x for x in parse_party(n).core or (py_fold(n),) if len(x) > 1)
-            ]
-            yield pd.DataFrame(rows, columns=["case_id", "name", "number", "word"])
-
-    words = cut_lineage(names.mapInPandas(core_words, "case_id string, name string, number string, word string"))
+            rows = [(c, n, i, h, w, k) for c, n, i, h in b[["case_id", "name", "number", "hint"]].itertuples(index=False, name=None) for w, k in keys_of(n, h)]
+            yield pd.DataFrame(rows, columns=["case_id", "name", "number", "hint", "word", "letter"])
+
+    words = cut_lineage(with_hints(names).mapInPandas(core_words, "case_id string, name string, number string, hint string, word string, letter string"))
     near = trie_join(words.select("case_id", "word").distinct())
-    left = words.select("case_id", F.col("word").alias("word_a"), F.col("name").alias("x"), F.col("number").alias("id_x"))
-    right = words.select("case_id", F.col("word").alias("word_b"), F.col("name").alias("y"), F.col("number").alias("id_y"))
+
+    def side(word: str, starred: str, lettered: str, name: str) -> DataFrame:
+        # Names meet by equal letters; one without given name meets all.
+        star = F.when(F.col("letter") == "*", starred).otherwise(lettered)
+        return words.select("case_id", F.col("word").alias(word), F.explode(F.array(F.concat(F.lit("="), "letter"), star)).alias("by"), F.struct("name", "number", "hint").alias(name))
+
     candidates = (
-        near.join(left, ["case_id", "word_a"])
-        .join(right, ["case_id", "word_b"])
-        .where("x <> y")
-        .select(
-            "case_id",
-            F.least("x", "y").alias("a"),
-            F.greatest("x", "y").alias("b"),
-            F.when(F.col("x") < F.col("y"), F.col("id_x")).otherwise(F.col("id_y")).alias("id_a"),
-            F.when(F.col("x") < F.col("y"), F.col("id_y")).otherwise(F.col("id_x")).alias("id_b"),
-        )
+        near.join(side("word_a", "right", "left", "x"), ["case_id", "word_a"])
+        .join(side("word_b", "left", "right", "y"), ["case_id", "word_b", "by"])
+        .where("x.name <> y.name")
+        .select("case_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .repartition(_tasks(names), "case_id", "a", "b")
         .distinct()
     )
 
     @F.pandas_udf("int")
-    def level(a: pd.Series, b: pd.Series, i: pd.Series, j: pd.Series) -> pd.Series:
-        return pd.Series([decide(*row) for row in zip(a, b, i, j, strict=True)], dtype="int32")
+    def level(a: pd.Series, b: pd.Series, i: pd.Series, j: pd.Series, g: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([decide(*row) for row in zip(a, b, i, j, g, h, strict=True)], dtype="int32")
 
     judged = cut_lineage(
-        candidates.select("case_id", "a", "b", level("a", "b", "id_a", "id_b").alias("level")).where("level <> 0")
+        candidates.select("case_id", F.col("a.name").alias("a"), F.col("b.name").alias("b"), level("a.name", "b.name", "a.number", "b.number", "a.hint", "b.hint").alias("level"))
+        .where("level <> 0")
     )
     both = judged.unionByName(judged.select("case_id", F.col("b").alias("a"), F.col("a").alias("b"), "level"))
     sure = judged.where("level >= 2")
@@ -315,13 +484,10 @@ def link_parties(names: DataFrame) -> DataFrame:
     kept = sure.select("case_id", "a", "b").unionByName(
         judged.where("level = 1").select("case_id", "a", "b").join(unclear, ["case_id", "a", "b"], "left_anti")
     )
-    kept = cut_lineage(kept)
-    ways = kept.unionByName(kept.select("case_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    through = (
-        ways.select("case_id", F.col("a").alias("m"), F.col("b").alias("a"))
-        .join(ways.select("case_id", F.col("a").alias("m"), "b"), ["case_id", "m"])
-        .where("a < b")
-        .select("case_id", "a", "b")
-        .join(judged.where("level = -1"), ["case_id", "a", "b"], "left_anti")
-    )
-    return kept.unionByName(through).distinct().select("case_id", F.col("a").alias("name_a"), F.col("b").alias("name_b"))
+    node = lambda c: F.concat_ws("\x01", "case_id", c)
+    parties = components(kept.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+    placed = parties.select("component", F.split("node", "\x01").alias("n")).select("component", F.col("n")[0].alias("case_id"), F.col("n")[1].alias("name"))
+    placed = cut_lineage(placed)
+    pairs = placed.toDF("component", "case_id", "a").join(placed.toDF("component", "case_id", "b"), ["component", "case_id"]).where("a < b")
+    apart = judged.where("level = -1").select("case_id", "a", "b")
+    return pairs.select("case_id", "a", "b").join(apart, ["case_id", "a", "b"], "left_anti").toDF("case_id", "name_a", "name_b")
