@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +28,21 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def count_tokens(text: str | None, path: str) -> int:
-    """Tokens of a text; long runs without blanks are cut so that the time stays linear."""
+def count_tokens(text: str | None, path: str, blanks: int = 10_000) -> int:
+    """Tokens of a whole text.
+
+    The splitting pattern walks back over white space, which overflows its stack on very long
+    runs. A run of at least `blanks` is therefore taken as the one piece that the pattern makes
+    of it: all of it but the last character, which goes with what follows.
+    """
     if not text:
         return 0
-    enc = encoder(path)
-    if len(text) <= 100_000:
-        return len(enc.encode_ordinary(text))
-    total, at = 0, 0
-    while at < len(text):
-        end = min(len(text), at + 100_000)
-        if end < len(text):
-            cut = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = cut if cut > at else end
-        total += len(enc.encode_ordinary(text[at:end]))
+    enc, total, at = encoder(path), 0, 0
+    for run in regex.finditer(rf"\p{{White_Space}}{{{blanks},}}", text):
+        end = run.end() - (run.end() < len(text))
+        total += len(enc.encode_ordinary(text[at : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
         at = end
-    return total
+    return total + len(enc.encode_ordinary(text[at:]))
 
 
 def with_tokens(documents: DataFrame, *keep: str, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:

@@ -351,7 +351,7 @@ def test_mix_reaches_shares_without_overuse(spark):
     docs = [(i, s, rng.randint(20, 200)) for s, n, base in (("big", 4000, 0), ("mid", 600, 10_000), ("small", 90, 20_000)) for i in range(base, base + n)]
     df = spark.createDataFrame([*docs, docs[0], (99_999, "other", 50), (99_998, None, 50), (99_997, "big", 0)], "doc_id bigint, source string, n_tokens bigint").dropDuplicates(["doc_id"])
     targets = spark.createDataFrame([("big", 0.6, 1), ("mid", 0.25, 2), ("small", 0.15, 4), ("none", 0.0, 3)], "source string, target_share double, max_repeats int")
-    out = mixing.mix_sources(df, targets, blocks=400)
+    out = mixing.mix_sources(df, targets)
     rows_ = out.collect()
     uses = Counter(r.doc_id for r in rows_)
     most = {"big": 1, "mid": 2, "small": 4}
@@ -367,26 +367,62 @@ def test_mix_reaches_shares_without_overuse(spark):
     for _, s, n in docs:
         have[s] += n
     assert max(got[s] / (have[s] * most[s]) for s in most) > 0.99
-    # Any prefix of the mix holds the shares up to a block and a document.
-    part, block = Counter(), total / 400
-    for r in sorted(rows_, key=lambda r: r.slot):
-        part[r.source] += r.n_tokens
+    assert worst_gap(rows_, {"big": 0.6, "mid": 0.25, "small": 0.15})[0] < block_of(200, {"big": 0.6, "mid": 0.25, "small": 0.15})
     assert mixing.mix_sources(df.where("false"), targets).count() == 0
     report = {r.source: r for r in mixing.mix_report(out, targets).collect()}
-    assert report["none"].tokens == 0 and report["small"].repeats == 4 and block > 0
+    assert report["none"].tokens == 0 and report["small"].repeats == 4
+
+
+def worst_gap(rows_, shares) -> tuple[float, int]:
+    """Largest distance of a source from its share after any document of the mix, and the longest document."""
+    part, whole, worst = Counter(), 0, 0.0
+    for r in sorted(rows_, key=lambda r: (r.slot, r.place)):
+        part[r.source] += r.n_tokens
+        whole += r.n_tokens
+        worst = max(worst, *(abs(part[s] - w * whole) for s, w in shares.items()))
+    return worst, max(r.n_tokens for r in rows_)
+
+
+def block_of(longest: int, shares: dict[str, float]) -> int:
+    return 2 * mixing.step_length(longest, mixing.whole_weights(shares))
 
 
 def test_mix_prefixes(spark):
     docs = [(i, "ab"[i % 2], 100) for i in range(4000)]
     df = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.25, 1)], "source string, target_share double, max_repeats int")
-    rows_ = sorted(mixing.mix_sources(df, targets, blocks=100).collect(), key=lambda r: r.slot)
-    block, part = sum(r.n_tokens for r in rows_) / 100, Counter()
-    for r, after in zip(rows_, [*rows_[1:], None], strict=True):
-        part[r.source] += r.n_tokens
-        if after is None or after.slot != r.slot:
-            whole = sum(part.values())
-            assert abs(part["a"] - whole * 2 / 3) <= 1.5 * block
+    for step in (None, 3000):
+        rows_ = mixing.mix_sources(df, targets, step=step, bucket_docs=500).collect()
+        gap, _ = worst_gap(rows_, {"a": 2 / 3, "b": 1 / 3})
+        assert gap < (2 * step if step else block_of(100, {"a": 0.5, "b": 0.25}))
+
+
+def test_mix_of_unequal_documents_and_a_tiny_share(spark):
+    rng = random.Random(4)
+    docs = [(i, f"s{i % 7}", int(rng.paretovariate(0.9)) % 5000 + 1) for i in range(6000)] + [(10_000 + i, "tiny", 40) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, n_tokens bigint")
+    shares = {f"s{i}": w for i, w in enumerate((0.3, 0.2, 0.2, 0.1, 0.1, 0.05, 0.0497))} | {"tiny": 0.0003}
+    targets = spark.createDataFrame([(s, w, 50) for s, w in shares.items()], "source string, target_share double, max_repeats int")
+    rows_ = mixing.mix_sources(df, targets).collect()
+    gap, longest = worst_gap(rows_, shares)
+    assert gap < block_of(longest, shares) and any(r.source == "tiny" for r in rows_)
+
+
+@needs_tables
+@pytest.mark.skipif(not Path(tokens.TOKENIZERS).exists(), reason="no vocabulary files")
+def test_mix_of_the_documents_stays_within_a_block(spark):
+    from folioscope.llm.queries import p7_mix
+
+    targets = {r.source: r.target_share for r in spark.read.parquet(f"{FOLDER}/mix_targets.parquet").collect()}
+    rows_ = p7_mix(spark, FOLDER).collect()
+    shares = {s: w for s, w in targets.items() if any(r.source == s for r in rows_)}
+    gap, longest = worst_gap(rows_, {s: w / sum(shares.values()) for s, w in shares.items()})
+    assert gap < block_of(longest, shares)
+
+
+def test_weights_keep_small_sources():
+    assert mixing.whole_weights({"a": 0.5, "b": 0.3, "c": 0.2}) == {"a": 5, "b": 3, "c": 2}
+    assert min(mixing.whole_weights({"a": 1.0, "b": 1e-9}).values()) == 1
 
 
 def test_tokens(spark):
@@ -397,7 +433,13 @@ def test_tokens(spark):
     text = "La mora habilitará una multa diaria. "
     enc = tokens.encoder(path)
     assert enc.decode(enc.encode_ordinary(text)) == text
-    assert abs(tokens.count_tokens(text * 9000, path) - 9000 * tokens.count_tokens(text, path)) <= 9100
+    # Whole texts, and the way around long white space, give what the encoder gives.
+    assert tokens.count_tokens(text * 9000, path) == len(enc.encode_ordinary(text * 9000))
+    rng = random.Random(2)
+    for _ in range(300):
+        t = "".join(rng.choice([" ", "  ", "\n", "\u00a0", "a", "ñu", "3", "."]) for _ in range(rng.randint(0, 40)))
+        assert tokens.count_tokens(t, path, blanks=2) == len(enc.encode_ordinary(t)), repr(t)
+    assert tokens.count_tokens("a" + " " * 1_000_000 + "b", path) > 2 and tokens.count_tokens("ab" * 200_000, path) == len(enc.encode_ordinary("ab" * 200_000))
     df = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, None, "b"), (None, "x", "c")], "doc_id bigint, text string, source string")
     assert sorted((r.doc_id, r.source, r.n_tokens > 0) for r in tokens.with_tokens(df, "source").collect()) == [(1, "a", True), (2, "b", False)]
 
