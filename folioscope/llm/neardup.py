@@ -7,8 +7,8 @@ band are candidates; their similarity is estimated jointly from the registers by
 likelihood (as the likelihood is concave, its slope at the bound decides), and the pairs
 that may reach the threshold are verified on the sets themselves.
 
-Texts with equal sets form one class, which is sketched once; pairs are sought between
-classes and handed out to the members at the end.
+Texts with equal sets form one class; pairs are sought between classes and handed out to
+the members only where they are asked for.
 
 Defined results: null and empty texts and texts of fewer than `min_words` words belong to
 no pair; texts of any length are read whole; repeated rows of an id count once; an empty
@@ -43,16 +43,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def shingle_hashes(text: str, run: int) -> tuple[np.ndarray, int]:
     """Sorted distinct hashes of the runs of `run` lower-cased words, and the number of words."""
     words = text.lower().split()
-    runs = {" ".join(words[i : i + run]) for i in range(len(words) - run + 1)}
-    return np.sort(np.fromiter((xxhash.xxh64_intdigest(r) for r in runs), dtype=np.uint64, count=len(runs))), len(words)
+    if len(words) < run:
+        return np.empty(0, dtype=np.uint64), len(words)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    acc = np.full(len(words) - run + 1, _GOLDEN)
+    for k in range(run):
+        acc = _mix(acc + each[k : len(words) - run + 1 + k])
+    return np.unique(acc), len(words)
 
 
 def registers(hashes: np.ndarray, m: int) -> np.ndarray:
-    """The m SetSketch registers of a set of 64-bit hashes."""
+    """The m SetSketch registers of a set of 64-bit hashes, which are well mixed already."""
     seeds = np.arange(1, m + 1, dtype=np.uint64) * _GOLDEN
     least = np.full(m, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(hashes), 1024):
-        np.minimum(least, _mix(hashes[i : i + 1024, None] + seeds).min(axis=0), out=least)
+    for i in range(0, len(hashes), 128):
+        x = (hashes[i : i + 128, None] ^ seeds) * _MIX_A
+        x ^= x >> np.uint64(32)
+        x *= _MIX_B
+        np.minimum(least, x.min(axis=0), out=least)
     value = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
     return np.clip(np.floor(1.0 - np.log(value) / math.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
@@ -79,17 +87,18 @@ def _slope(greater: Column, less: Column, n_a: Column, n_b: Column, m: int, at:
     return greater * d_up / p(up) + less * d_down / p(down) - (F.lit(m) - greater - less) * (d_up + d_down) / (F.lit(1.0) - p(up) - p(down))
 
 
-def near_duplicates(
-    texts: DataFrame, id_col: str, text_col: str, run: int = 5, threshold: float = 0.8, min_words: int = 1, rows: int = 4, probe: int = 64
-) -> DataFrame:
-    """id_a, id_b (id_a < id_b): all pairs whose sets of word runs reach the similarity.
+def near_duplicate_classes(
+    texts: DataFrame, id_col: str, text_col: str, run: int = 5, threshold: float = 0.8, min_words: int = 1, rows: int = 3, probe: int = 64
+) -> tuple[DataFrame, DataFrame]:
+    """(members, links): id, rep of every text of enough words, and rep_a, rep_b of all pairs of classes that reach the similarity.
 
-    `rows` registers make a band; the number of bands follows from the threshold. `probe`
-    registers serve the joint estimate, which lets a pair through up to four standard
-    errors below the threshold.
+    A class has the texts of equal sets; `rep` is its smallest id. `rows` registers make a
+    band; the number of bands follows from the threshold. `probe` registers serve the joint
+    estimate, which lets a pair through up to four standard errors below the threshold.
+    Hot bands are split by the adaptive skew join.
     """
     bands = bands_for(threshold, rows)
-    m = bands * rows
+    m = max(bands * rows, probe)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,46 +110,39 @@ def near_duplicates(
                 k = registers(hashes, m)
                 acc = np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN
                 for r in range(rows):
-                    acc = _mix(acc + k[r::rows].astype(np.uint64) + _GOLDEN)
+                    acc = _mix(acc + k[r : bands * rows : rows].astype(np.uint64) + _GOLDEN)
                 out["id"].append(i)
-                out["set_key"].append(xxhash.xxh128_hexdigest(hashes.tobytes()))
+                out["set_key"].append(xxhash.xxh128_digest(hashes.tobytes()))
                 out["size"].append(len(hashes))
-                out["probe"].append(k[:probe].astype(np.int32))
+                out["probe"].append((k[:probe].astype(np.int32) - 32_768).astype(np.int16))
                 out["bands"].append(acc.view(np.int64))
             yield pd.DataFrame(out)
 
     source = texts.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(text_col).alias("text"))
     sketched = cut_lineage(
-        source.mapInPandas(sketch, "id bigint, set_key string, size int, probe array<int>, bands array<bigint>")
+        source.mapInPandas(sketch, "id bigint, set_key binary, size int, probe array<smallint>, bands array<bigint>")
     )
-    members = sketched.select("id", "set_key")
-    classes = sketched.groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by(F.struct("size", "probe", "bands"), "id").alias("s")).select(
-        "rep", "s.size", "s.probe", "s.bands"
-    )
-    classes = cut_lineage(classes)
+    reps = sketched.groupBy("set_key").agg(F.min("id").alias("rep"))
+    members = sketched.select("id", "set_key").join(reps, "set_key").select("id", "rep")
+    classes = cut_lineage(sketched.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "size", "probe", "bands"))
     banded = classes.select("rep", "size", F.explode("bands").alias("band"))
-    other = banded.select("band", F.col("rep").alias("rep_b"), F.col("size").alias("size_b"))
     fits = F.least("size", "size_b") >= F.greatest("size", "size_b") * threshold
     candidates = (
-        banded.select("band", F.col("rep").alias("rep_a"), "size")
-        .join(other, "band")
+        banded.toDF("rep_a", "size", "band")
+        .join(banded.toDF("rep_b", "size_b", "band"), "band")
         .where((F.col("rep_a") < F.col("rep_b")) & fits)
         .select("rep_a", "rep_b")
         .distinct()
     )
     part = classes.select("rep", "size", "probe")
     pairs = candidates.join(part.toDF("rep_a", "size_a", "probe_a"), "rep_a").join(part.toDF("rep_b", "size_b", "probe_b"), "rep_b")
-    signs = F.zip_with("probe_a", "probe_b", lambda x, y: F.signum(x - y).cast("int"))
+    # One pass for both counts: thousands count where a is greater, units where it is less.
+    signs = F.zip_with("probe_a", "probe_b", lambda x, y: F.when(x > y, 1000).when(x < y, 1).otherwise(0))
     margin = 4.0 * math.sqrt(threshold * (1.0 - threshold) / probe)
-    counted = pairs.select(
-        "rep_a", "rep_b", "size_a", "size_b",
-        F.aggregate(signs, F.lit(0), lambda s, x: s + F.when(x > 0, 1).otherwise(0)).cast("double").alias("greater"),
-        F.aggregate(signs, F.lit(0), lambda s, x: s + F.when(x < 0, 1).otherwise(0)).cast("double").alias("less"),
-    )
+    counted = pairs.select("rep_a", "rep_b", "size_a", "size_b", F.aggregate(signs, F.lit(0), lambda s, x: s + x).alias("signs"))
+    greater, less = F.floor(F.col("signs") / 1000).cast("double"), (F.col("signs") % 1000).cast("double")
     likely = cut_lineage(
-        counted.where(
-            _slope(F.col("greater"), F.col("less"), F.col("size_a").cast("double"), F.col("size_b").cast("double"), probe, max(threshold - margin, 0.05)) >= 0
-        ).select("rep_a", "rep_b")
+        counted.where(_slope(greater, less, F.col("size_a").cast("double"), F.col("size_b").cast("double"), probe, max(threshold - margin, 0.05)) >= 0).select("rep_a", "rep_b")
     )
 
     @F.pandas_udf("array<bigint>")
@@ -150,15 +152,25 @@ def near_duplicates(
     touched = likely.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
     whole = cut_lineage(source.join(touched, "id").select("id", sets("text").alias("set")))
     common = F.size(F.array_intersect("set_a", "set_b"))
-    verified = (
+    links = (
         likely.join(whole.toDF("rep_a", "set_a"), "rep_a")
         .join(whole.toDF("rep_b", "set_b"), "rep_b")
         .where(common >= threshold * (F.size("set_a") + F.size("set_b") - common))
         .select("rep_a", "rep_b")
     )
-    of_rep = members.join(members.groupBy("set_key").agg(F.min("id").alias("rep")), "set_key").select("rep", "id")
-    across = (
-        verified.join(of_rep.toDF("rep_a", "x"), "rep_a").join(of_rep.toDF("rep_b", "y"), "rep_b").select("x", "y")
-    )
-    within = of_rep.toDF("rep", "x").join(of_rep.toDF("rep", "y"), "rep").where("x < y").select("x", "y")
+    return members, links
+
+
+def pairs_of_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """id_a, id_b (id_a < id_b) of all pairs of texts, classes of equal texts written out.
+
+    The result is as large as the pairs asked for, k * k / 2 for k equal texts; use the classes where that isn't wanted.
+    """
+    across = links.join(members.toDF("x", "rep_a"), "rep_a").join(members.toDF("y", "rep_b"), "rep_b").select("x", "y")
+    within = members.toDF("x", "rep").join(members.toDF("y", "rep"), "rep").where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def near_duplicates(texts: DataFrame, id_col: str, text_col: str, **settings) -> DataFrame:
+    """id_a, id_b (id_a < id_b): all pairs whose sets of word runs reach the similarity (see `near_duplicate_classes`)."""
+    return pairs_of_classes(*near_duplicate_classes(texts, id_col, text_col, **settings))
