@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.session import cut_lineage
@@ -88,7 +89,7 @@ def _slope(greater: Column, less: Column, n_a: Column, n_b: Column, m: int, at:
 
 
 def near_duplicate_classes(
-    texts: DataFrame, id_col: str, text_col: str, run: int = 5, threshold: float = 0.8, min_words: int = 1, rows: int = 3, probe: int = 64
+    texts: DataFrame, id_col: str, text_col: str, run: int = 5, threshold: float = 0.8, min_words: int = 1, rows: int = 4, probe: int = 64
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): id, rep of every text of enough words, and rep_a, rep_b of all pairs of classes that reach the similarity.
 
@@ -118,14 +119,17 @@ def near_duplicate_classes(
                 out["bands"].append(acc.view(np.int64))
             yield pd.DataFrame(out)
 
-    source = texts.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.min(text_col).alias("text"))
+    filled = texts.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    once = lambda df: df.groupBy("id").agg(F.min("text").alias("text"))
     sketched = cut_lineage(
-        source.mapInPandas(sketch, "id bigint, set_key binary, size int, probe array<smallint>, bands array<bigint>")
+        once(filled).mapInPandas(sketch, "id bigint, set_key binary, size int, probe array<smallint>, bands array<bigint>")
     )
     reps = sketched.groupBy("set_key").agg(F.min("id").alias("rep"))
     members = sketched.select("id", "set_key").join(reps, "set_key").select("id", "rep")
     classes = cut_lineage(sketched.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "size", "probe", "bands"))
-    banded = classes.select("rep", "size", F.explode("bands").alias("band"))
+    # Most band values stand alone; the others are kept and met with themselves.
+    banded = classes.select("rep", "size", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(W.partitionBy("band")))
+    banded = cut_lineage(banded.where("n > 1").select("rep", "size", "band"))
     fits = F.least("size", "size_b") >= F.greatest("size", "size_b") * threshold
     candidates = (
         banded.toDF("rep_a", "size", "band")
@@ -150,7 +154,7 @@ def near_duplicate_classes(
         return pd.Series([shingle_hashes(t, run)[0].view(np.int64) for t in batch])
 
     touched = likely.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    whole = cut_lineage(source.join(touched, "id").select("id", sets("text").alias("set")))
+    whole = cut_lineage(once(filled.join(touched, "id", "left_semi")).select("id", sets("text").alias("set")))
     common = F.size(F.array_intersect("set_a", "set_b"))
     links = (
         likely.join(whole.toDF("rep_a", "set_a"), "rep_a")
