@@ -6,11 +6,11 @@ known for documents only, so a document has a subject if at least one paragraph
 its probability joins those of the paragraphs by noisy-or, and training sends the gradient
 to the paragraphs that carry the subject.
 
-Training runs in synchronous rounds: every shard of the labelled documents starts from the
-same parameters, walks its own documents by Adagrad, and returns its change of the
-parameters; the changes are averaged into the next parameters. Shards and order follow
-from doc_id, so that the result doesn't depend on the cluster. The labelled documents are a
-bounded sample (`max_labelled`); scoring covers every paragraph of every document.
+Training is synchronous: in each step all partitions work out the gradient of their part of
+a batch at the same parameters, the gradients are summed, and one Adagrad step follows.
+Batches follow from doc_id, so that the result doesn't depend on the cluster but for the
+rounding of sums. The labelled documents are a bounded sample (`max_labelled`) and are turned
+into features once; scoring covers every paragraph of every document.
 
 Defined results: null, empty and blank texts have no subject; labels of unknown documents
 are ignored; a repeated doc_id counts once; without labels nothing is found; extra columns
@@ -20,8 +20,9 @@ are ignored; texts of any length are read whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -31,9 +32,12 @@ from pyspark.sql import functions as F
 
 from folioscope.session import cut_lineage
 
-_WORD = re.compile(r"[a-z0-9(]+")
+_MARKED, _PLAIN = "áéíóúüñàèìòùâêîôûãõç", "aeiouunaeiouaeiouaoc"
+_WORD = re.compile(rf"[a-z0-9({_MARKED}]+")
 _BREAK = re.compile(r"\n\s*\n")
-_MARKS = str.maketrans("áéíóúüñàèìòùâêîôûãõç", "aeiouunaeiouaeiouaoc")
+_MARKS = str.maketrans(_MARKED, _PLAIN)
+#: Rows of a table that are looked up at once.
+_SLICE = 1 << 18
 
 
 @dataclass
@@ -42,10 +46,12 @@ class Settings:
 
     buckets: int = 1 << 15
     dim: int = 16
-    rounds: int = 8
-    #: A shard walks its documents as often as it takes to make about this many steps a round.
-    steps: int = 1600
-    shards: int = 4
+    steps: int = 64
+    #: Batches of a walk through the labelled documents; fewer where they would have less than `least` documents.
+    batches: int = 8
+    least: int = 64
+    #: Partitions over which the gradient of a batch is worked out.
+    shards: int = 6
     rate: float = 0.3
     #: Below one half, since missing labels pull the probabilities down.
     threshold: float = 0.15
@@ -53,134 +59,183 @@ class Settings:
     seed: int = 7
 
 
-@dataclass
-class Features:
-    """Hashed features of words and word pairs, remembered by word up to a bound."""
-
-    buckets: int
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def of_word(self, word: str) -> np.ndarray:
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            framed = f"<{word}>"
-            keys = [word] + [framed[i : i + 4] for i in range(len(framed) - 3) if len(word) > 3]
-            got = self.memo[word] = np.array([crc32(k.encode()) % self.buckets for k in keys], dtype=np.int32)
+def summed(table: np.ndarray, rows: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The sum of the table's rows per group; `group` ascends. Looks up a bounded number of rows at once."""
+    out = np.zeros((groups, table.shape[1]), dtype=np.float32)
+    for a in range(0, len(rows), _SLICE):
+        g = group[a : a + _SLICE]
+        starts = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
+        out[g[starts]] += np.add.reduceat(table[rows[a : a + _SLICE]], starts, axis=0)
+    return out
+
+
+class Words(dict):
+    """The number of each word met (-1 for those without meaning), its hash and its features; emptied by `trim`."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
+        self.hashes = array("Q")
+        self.features: list[np.ndarray] = []
+
+    def __missing__(self, word: str) -> int:
+        plain = word.translate(_MARKS)
+        if plain.isdigit() or len(plain) < 2:
+            got = -1
+        else:
+            framed = f"<{plain}>"
+            keys = [plain] + [framed[i : i + 4] for i in range(len(framed) - 3) if len(plain) > 3]
+            got = len(self.hashes)
+            self.hashes.append(crc32(plain.encode()))
+            self.features.append(np.array([crc32(k.encode()) % self.buckets for k in keys], dtype=np.int32))
+        self[word] = got
         return got
 
-    def of_text(self, text: str) -> np.ndarray:
-        words = [w for w in _WORD.findall(text.lower().translate(_MARKS)) if not w.isdigit() and len(w) > 1]
-        parts = [self.of_word(w) for w in words]
-        pairs = [crc32(f"{a} {b}".encode()) % self.buckets for a, b in zip(words, words[1:], strict=False)]
-        if pairs:
-            parts.append(np.array(pairs, dtype=np.int32))
-        return np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
+    def trim(self, most: int = 200_000) -> bool:
+        """Forget all words if there are too many."""
+        if len(self) <= most:
+            return False
+        self.clear()
+        self.hashes = array("Q")
+        self.features.clear()
+        return True
+
+
+@dataclass
+class Paragraphs:
+    """The paragraphs of some documents that have words: word numbers and pair features with the paragraph of each."""
+
+    words: np.ndarray
+    of_word: np.ndarray
+    pairs: np.ndarray
+    of_pair: np.ndarray
+    document: np.ndarray
 
-    def paragraphs(self, text: str) -> list[np.ndarray]:
-        return [f for p in _BREAK.split(text) if len(f := self.of_text(p))]
+    @classmethod
+    def read(cls, texts: list[str], known: Words) -> Paragraphs:
+        numbers, lengths, document = [], [], []
+        for d, text in enumerate(texts):
+            for part in _BREAK.split(text.lower()):
+                if found := [n for w in _WORD.findall(part) if (n := known[w]) >= 0]:
+                    numbers.append(np.array(found, dtype=np.int32))
+                    lengths.append(len(found))
+                    document.append(d)
+        words = np.concatenate(numbers) if numbers else np.empty(0, dtype=np.int32)
+        of_word = np.repeat(np.arange(len(lengths)), lengths)
+        h = np.frombuffer(known.hashes, dtype=np.uint64)[words] if len(words) else np.empty(0, dtype=np.uint64)
+        same = of_word[1:] == of_word[:-1]
+        # Multiplicative hashing of two word hashes; the upper bits are the mixed ones.
+        mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
+        pairs = (mixed[same] % np.uint64(known.buckets)).astype(np.int32)
+        return cls(words, of_word, pairs, of_word[1:][same], np.array(document, dtype=np.int64))
+
+    def __len__(self) -> int:
+        return len(self.document)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass
 class Model:
-    """Embeddings, output weights and biases with the sums of their squared gradients."""
+    """Embeddings, output weights and biases."""
 
     embed: np.ndarray
     weight: np.ndarray
     bias: np.ndarray
-    sums: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     @classmethod
     def fresh(cls, s: Settings, outputs: int) -> Model:
         rng = np.random.default_rng(s.seed)
         embed = rng.normal(0, 1.0 / s.dim, (s.buckets, s.dim)).astype(np.float32)
         weight = rng.normal(0, 0.5, (s.dim, outputs)).astype(np.float32)
-        bias = np.full(outputs, -3.0, dtype=np.float32)
-        return cls(embed, weight, bias, tuple(np.full_like(a, 1e-4) for a in (embed, weight, bias)))
-
-    def scores(self, paragraphs: list[np.ndarray]) -> np.ndarray:
-        """Probability of each subject for each paragraph."""
-        if not paragraphs:
-            return np.zeros((0, len(self.bias)), dtype=np.float32)
-        flat = np.concatenate(paragraphs)
-        starts = np.cumsum([0] + [len(p) for p in paragraphs[:-1]])
-        mean = np.add.reduceat(self.embed[flat], starts, axis=0) / np.array([[len(p)] for p in paragraphs], dtype=np.float32)
+        return cls(embed, weight, np.full(outputs, -3.0, dtype=np.float32))
+
+    def outputs(self, mean: np.ndarray) -> np.ndarray:
         return _sigmoid(mean @ self.weight + self.bias)
 
-    def learn(self, doc: Document, truth: np.ndarray, rate: float) -> None:
-        """One Adagrad step on one document."""
-        mean = doc.averages(self.embed)
-        p = np.clip(_sigmoid(mean @ self.weight + self.bias), 1e-6, 1 - 1e-6)
-        none = np.prod(1 - p, axis=0)
-        whole = np.clip(1 - none, 1e-6, 1.0)
-        slope = np.where(truth[None, :] > 0, -p * (none / whole)[None, :], p).astype(np.float32)
-        d_weight, d_bias = mean.T @ slope, slope.sum(axis=0)
-        d_embed = doc.spread(slope @ self.weight.T)
-        se, sw, sb = self.sums
-        rows = doc.rows
-        kept = se[rows] + d_embed**2
-        se[rows] = kept
-        sw += d_weight**2
-        sb += d_bias**2
-        self.embed[rows] -= rate * d_embed / np.sqrt(kept)
-        self.weight -= 0.3 * rate * d_weight / np.sqrt(sw)
-        self.bias -= 0.1 * rate * d_bias / np.sqrt(sb)
-
-
-class Document:
-    """The paragraphs of a document as averages over its distinct features."""
-
-    def __init__(self, paragraphs: list[np.ndarray], dense_cells: int = 4_000_000):
-        self.lengths = np.array([len(p) for p in paragraphs])
-        flat = np.concatenate(paragraphs)
-        self.rows, place = np.unique(flat, return_inverse=True)
-        self.starts = np.cumsum(np.concatenate(([0], self.lengths[:-1])))
-        self.matrix, self.place = None, place
-        if len(paragraphs) * len(self.rows) <= dense_cells:
-            paragraph = np.repeat(np.arange(len(paragraphs)), self.lengths)
-            cells = np.bincount(paragraph * len(self.rows) + place, minlength=len(paragraphs) * len(self.rows))
-            self.matrix = (cells.reshape(len(paragraphs), -1) / self.lengths[:, None]).astype(np.float32)
-            self.place = None
-
-    def averages(self, embed: np.ndarray) -> np.ndarray:
-        """Average embedding of each paragraph."""
-        own = embed[self.rows]
-        if self.matrix is not None:
-            return self.matrix @ own
-        return np.add.reduceat(own[self.place], self.starts, axis=0) / self.lengths[:, None].astype(np.float32)
-
-    def spread(self, change: np.ndarray) -> np.ndarray:
-        """What a change of the averages means for the distinct features."""
-        if self.matrix is not None:
-            return self.matrix.T @ change
-        out = np.zeros((len(self.rows), change.shape[1]), dtype=np.float32)
-        np.add.at(out, self.place, np.repeat(change / self.lengths[:, None], self.lengths, axis=0))
-        return out
 
+class Scorer:
+    """Probabilities of paragraphs; a word's features are summed once and remembered."""
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+    def __init__(self, model: Model, s: Settings):
+        self.model, self.known = model, Words(s.buckets)
+        self.sums, self.counts = np.empty((0, s.dim), dtype=np.float32), np.empty(0, dtype=np.int64)
 
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The document and the probabilities of each paragraph."""
+        if self.known.trim():
+            self.sums, self.counts = self.sums[:0], self.counts[:0]
+        p = Paragraphs.read(texts, self.known)
+        if fresh := self.known.features[len(self.sums) :]:
+            counts = np.array([len(f) for f in fresh])
+            added = summed(self.model.embed, np.concatenate(fresh), np.repeat(np.arange(len(fresh)), counts), len(fresh))
+            self.sums, self.counts = np.concatenate([self.sums, added]), np.concatenate([self.counts, counts])
+        n = np.bincount(p.of_word, weights=self.counts[p.words], minlength=len(p)) + np.bincount(p.of_pair, minlength=len(p))
+        total = summed(self.sums, p.words, p.of_word, len(p)) + summed(self.model.embed, p.pairs, p.of_pair, len(p))
+        return p.document, self.model.outputs(total / np.maximum(n, 1)[:, None].astype(np.float32))
+
+
+@dataclass
+class Examples:
+    """Labelled documents as features, ready for gradients: each distinct feature with the paragraphs that it stands in."""
 
-def train_shard(model: Model, docs: list[tuple[Document, np.ndarray]], s: Settings, round_no: int) -> Model:
-    """The parameters after walking the shard's documents for one round."""
-    order = np.arange(len(docs))
-    for e in range(max(1, round(s.steps / max(1, len(docs))))):
-        np.random.default_rng([s.seed, round_no, e]).shuffle(order)
-        for i in order:
-            model.learn(*docs[i], s.rate)
-    return model
+    flat: np.ndarray
+    of_flat: np.ndarray
+    document: np.ndarray
+    truth: np.ndarray
+
+    @classmethod
+    def read(cls, texts: list[str], truths: list[list[int]], places: dict[int, int], s: Settings) -> Examples:
+        known = Words(s.buckets)
+        p = Paragraphs.read(texts, known)
+        sizes = np.array([len(f) for f in known.features], dtype=np.int64)[p.words]
+        flat = np.concatenate([known.features[w] for w in p.words] + [p.pairs]) if len(p) else np.empty(0, dtype=np.int32)
+        of_flat = np.concatenate([np.repeat(p.of_word, sizes), p.of_pair])
+        order = np.argsort(of_flat, kind="stable")
+        truth = np.zeros((len(texts), len(places)), dtype=np.float32)
+        for d, listed in enumerate(truths):
+            truth[d, [places[t] for t in listed]] = 1
+        return cls(flat[order], of_flat[order].astype(np.int64), p.document, truth)
+
+    def pack(self) -> list[bytes]:
+        return [self.flat.tobytes(), self.of_flat.tobytes(), self.document.tobytes(), self.truth.tobytes()]
+
+    @classmethod
+    def unpack(cls, parts: list[bytes], outputs: int) -> Examples:
+        kinds = (np.int32, np.int64, np.int64, np.float32)
+        flat, of_flat, document, truth = (np.frombuffer(p, dtype=k) for p, k in zip(parts, kinds, strict=True))
+        return cls(flat, of_flat, document, truth.reshape(-1, outputs))
+
+    def gradient(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct features, and the gradients of their embeddings, of the weights and of the biases."""
+        n = np.bincount(self.of_flat, minlength=len(self.document))[:, None].astype(np.float32)
+        mean = summed(m.embed, self.flat, self.of_flat, len(self.document)) / n
+        p = np.clip(m.outputs(mean), 1e-6, 1 - 1e-6)
+        starts = np.flatnonzero(np.diff(self.document, prepend=-1))
+        none = np.repeat(np.exp(np.add.reduceat(np.log1p(-p), starts, axis=0)), np.diff(starts, append=len(p)), axis=0)
+        whole = np.clip(1 - none, 1e-6, 1.0)
+        slope = np.where(self.truth[self.document] > 0, -p * (none / whole), p).astype(np.float32)
+        order = np.argsort(self.flat, kind="stable")
+        rows, place = np.unique(self.flat[order], return_inverse=True)
+        change = (slope @ m.weight.T / n).astype(np.float32)
+        return rows, summed(change, self.of_flat[order], place, len(rows)), mean.T @ slope, slope.sum(axis=0)
 
 
-def _pack(m: Model) -> list[bytes]:
-    return [a.astype(np.float32).tobytes() for a in (m.embed, m.weight, m.bias, *m.sums)]
+class Adagrad:
+    """The model with the sums of its squared gradients."""
 
+    def __init__(self, model: Model, rate: float):
+        self.model, self.rate = model, rate
+        self.sums = [np.full_like(a, 1e-4, dtype=np.float64) for a in (model.embed, model.weight, model.bias)]
 
-def _unpack(parts: list[bytes], s: Settings, outputs: int) -> Model:
-    shapes = [(s.buckets, s.dim), (s.dim, outputs), (outputs,)] * 2
-    a = [np.frombuffer(p, dtype=np.float32).reshape(shape).copy() for p, shape in zip(parts, shapes, strict=True)]
-    return Model(a[0], a[1], a[2], (a[3], a[4], a[5]))
+    def step(self, embed: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> None:
+        """One step down the summed gradients; outputs move more slowly than embeddings."""
+        m = self.model
+        for held, sums, change, rate in zip((m.embed, m.weight, m.bias), self.sums, (embed, weight, bias), (1.0, 0.3, 0.1), strict=True):
+            sums += change**2
+            held -= (rate * self.rate * change / np.sqrt(sums)).astype(np.float32)
 
 
 def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[int], s: Settings) -> Model:
@@ -189,39 +244,46 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[int], s
     places = {x: i for i, x in enumerate(subjects)}
     marks = labels.where(F.col("subject_id").isin(*subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject_id")).alias("truth"))
     # The bound is on training data only: the documents with the smallest hashes.
-    sample = marks.orderBy(F.xxhash64("doc_id")).limit(s.max_labelled)
+    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_labelled)
     labelled = cut_lineage(
-        documents.select("doc_id", "text").where("text is not null").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("truth").alias("truth"))
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(s.shards)).cast("int"))
+        documents.select("doc_id", "text").where("trim(text) <> ''").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("truth").alias("truth"))
     )
-    model = Model.fresh(s, len(subjects))
-    def walker(start, round_no: int):
-        """The work of one shard in one round, for applyInPandas."""
-
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            features, local = Features(s.buckets), _unpack(start.value, s, len(places))
-            docs = []
-            for text, truth in group.sort_values("doc_id")[["text", "truth"]].itertuples(index=False):
-                y = np.zeros(len(places), dtype=np.float32)
-                y[[places[t] for t in truth]] = 1
-                if paragraphs := features.paragraphs(text):
-                    docs.append((Document(paragraphs), y))
-            return pd.DataFrame({"n": [len(docs)], "parts": [_pack(train_shard(local, docs, s, round_no))]})
+    batches = max(1, min(s.batches, labelled.count() // s.least))
+
+    def prepare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in frames:
+            read = Examples.read(list(b["text"]), list(b["truth"]), places, s)
+            if len(read.document):
+                yield pd.DataFrame({"parts": [read.pack()]})
+
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(s.seed)), F.lit(batches))
+    held = [cut_lineage(labelled.where(turn == i).repartition(s.shards).mapInPandas(prepare, "parts array<binary>")) for i in range(batches)]
+    state = Adagrad(Model.fresh(s, len(subjects)), s.rate)
+
+    def gradients(shared):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            model = Model(*shared.value)
+            for b in frames:
+                for parts in b["parts"]:
+                    got = Examples.unpack(parts, len(places)).gradient(model)
+                    yield pd.DataFrame({"parts": [[a.astype(k).tobytes() for a, k in zip(got, ("i4", "f4", "f4", "f4"), strict=True)]]})
 
         return run
 
-    for round_no in range(s.rounds):
-        start = spark.sparkContext.broadcast(_pack(model))
-        moved = labelled.groupBy("shard").applyInPandas(walker(start, round_no), "n bigint, parts array<binary>").collect()
-        start.destroy()
-        if not (total := sum(r.n for r in moved)):
-            return model
-        joined = [np.zeros(len(p) // 4, dtype=np.float64) for p in moved[0].parts]
+    for step in range(s.steps):
+        m = state.model
+        shared = spark.sparkContext.broadcast((m.embed, m.weight, m.bias))
+        # One row per partition of the batch: at most the size of the model each.
+        moved = held[step % batches].mapInPandas(gradients(shared), "parts array<binary>").collect()
+        shared.destroy()
+        total = [np.zeros(a.shape, dtype=np.float64) for a in (m.embed, m.weight, m.bias)]
         for r in moved:
-            for acc, part in zip(joined, r.parts, strict=True):
-                acc += np.frombuffer(part, dtype=np.float32) * (r.n / total)
-        model = _unpack([a.astype(np.float32).tobytes() for a in joined], s, len(places))
-    return model
+            rows = np.frombuffer(r.parts[0], dtype=np.int32)
+            total[0][rows] += np.frombuffer(r.parts[1], dtype=np.float32).reshape(len(rows), s.dim)
+            total[1] += np.frombuffer(r.parts[2], dtype=np.float32).reshape(m.weight.shape)
+            total[2] += np.frombuffer(r.parts[3], dtype=np.float32)
+        state.step(*total)
+    return state.model
 
 
 def classify_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -241,16 +303,14 @@ def classify_subjects(documents: DataFrame, labels: DataFrame, subjects: DataFra
     shared = spark.sparkContext.broadcast((model.embed, model.weight, model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        embed, weight, bias = shared.value
-        scorer, features = Model(embed, weight, bias, ()), Features(s.buckets)
+        scorer = Scorer(Model(*shared.value), s)
         for b in batches:
-            ids, found = [], []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
-                p = scorer.scores(features.paragraphs(text))
-                for k in np.flatnonzero((p >= s.threshold).any(axis=0)) if len(p) else ():
-                    ids.append(doc)
-                    found.append(listed[k])
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "subject_id": pd.Series(found, dtype="int32")})
+            for a in range(0, len(b), 500):
+                part = b.iloc[a : a + 500]
+                document, p = scorer.scores(list(part["text"]))
+                paragraph, subject = np.nonzero(p >= s.threshold)
+                pairs = np.unique(document[paragraph] * len(listed) + subject)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[pairs // len(listed)], "subject_id": np.array(listed, dtype=np.int32)[pairs % len(listed)]})
 
     texts = documents.where("text is not null and doc_id is not null").select("doc_id", "text")
     return texts.mapInPandas(run, "doc_id bigint, subject_id int").distinct()

@@ -469,7 +469,7 @@ def test_subjects_held_out(spark):
     docs = spark.createDataFrame([*train, *test, (7, None), (8, ""), (9, " \n\n "), (10, "ruta " * 50_000), train[0]], "doc_id bigint, text string").selectExpr("*", "1 as truth", "2 as shard")
     labels = spark.createDataFrame([(d, t) for d, ts in truth.items() for t in ts] + [(424242, 1)], "doc_id bigint, subject_id int")
     listed = spark.createDataFrame([(1,), (2,), (3,)], "subject_id int")
-    s = subjects.Settings(buckets=1 << 13, steps=400, rounds=5)
+    s = subjects.Settings(buckets=1 << 13)
     found = defaultdict(set)
     out = subjects.classify_subjects(docs, labels, listed, s).collect()
     assert len(out) == len(set(out))
@@ -482,12 +482,69 @@ def test_subjects_held_out(spark):
     assert subjects.classify_subjects(docs.where("false"), labels, listed, s).count() == 0
 
 
-def test_sparse_and_dense_documents_agree():
-    rng = np.random.default_rng(1)
-    paragraphs = [rng.integers(0, 50, n) for n in (5, 17, 1)]
-    dense, sparse = subjects.Document(paragraphs), subjects.Document(paragraphs, dense_cells=0)
-    embed, change = rng.normal(size=(50, 4)).astype(np.float32), rng.normal(size=(3, 4)).astype(np.float32)
-    assert np.allclose(dense.averages(embed), sparse.averages(embed), atol=1e-5) and np.allclose(dense.spread(change), sparse.spread(change), atol=1e-5)
+def examples(texts, truths, s):
+    return subjects.Examples.read(texts, truths, {1: 0, 2: 1}, s)
+
+
+def test_gradients_are_those_of_the_loss():
+    s = subjects.Settings(buckets=97, dim=3)
+    texts, truths = ["ruta camino puente\n\nhospital dosis", "red disco", "", "ruta ruta ruta"], [[1], [2], [1], []]
+    m = subjects.Model.fresh(s, 2)
+    m.bias[:] = -0.5
+    e = examples(texts, truths, s)
+
+    def loss() -> float:
+        n = np.bincount(e.of_flat)[:, None]
+        p = m.outputs(subjects.summed(m.embed, e.flat, e.of_flat, len(e.document)).astype(np.float64) / n)
+        total = 0.0
+        for d in set(e.document):
+            none = np.prod(1 - p[e.document == d], axis=0)
+            total -= float(np.sum(np.where(e.truth[d] > 0, np.log(1 - none), np.log(none))))
+        return total
+
+    rows_, embed, weight, bias = e.gradient(m)
+    for held, got in ((m.weight, weight), (m.bias, bias)):
+        for at in np.ndindex(held.shape):
+            kept = held[at]
+            held[at] = kept + 0.01
+            up = loss()
+            held[at] = kept - 0.01
+            assert abs((up - loss()) / 0.02 - got[at]) < 1e-2
+            held[at] = kept
+    for i in (0, len(rows_) // 2, len(rows_) - 1):
+        kept = m.embed[rows_[i], 1]
+        m.embed[rows_[i], 1] = kept + 0.01
+        up = loss()
+        m.embed[rows_[i], 1] = kept - 0.01
+        assert abs((up - loss()) / 0.02 - embed[i, 1]) < 1e-2
+        m.embed[rows_[i], 1] = kept
+
+
+def test_gradients_of_parts_sum_to_that_of_the_whole():
+    s = subjects.Settings(buckets=211, dim=4)
+    train, truth = corpus(5, 40)
+    texts, truths = [t for _, t in train], [sorted(truth[d] & {1, 2}) for d, _ in train]
+    m = subjects.Model.fresh(s, 2)
+    whole, parts = examples(texts, truths, s).gradient(m), [examples(texts[i : i + 10], truths[i : i + 10], s).gradient(m) for i in range(0, 40, 10)]
+    dense = np.zeros((211, 4))
+    for rows_, embed, *_ in parts:
+        dense[rows_] += embed
+    assert np.allclose(dense[whole[0]], whole[1], atol=1e-4) and all(np.allclose(sum(p[k] for p in parts), whole[k], atol=1e-3) for k in (2, 3))
+
+
+def test_scores_are_averages_whatever_the_slices(monkeypatch):
+    s = subjects.Settings(buckets=211, dim=4)
+    texts = [t for _, t in corpus(6, 20)[0]] + ["", "ruta " * 300]
+    m = subjects.Model.fresh(s, 3)
+    document, p = subjects.Scorer(m, s).scores(texts)
+    e = subjects.Examples.read(texts, [[] for _ in texts], {}, s)
+    mean = np.stack([m.embed[e.flat[e.of_flat == k]].mean(axis=0) for k in range(len(e.document))])
+    assert (document == e.document).all() and np.allclose(p, m.outputs(mean), atol=1e-4)
+    monkeypatch.setattr(subjects, "_SLICE", 7)
+    assert np.allclose(subjects.Scorer(m, s).scores(texts)[1], p, atol=1e-4)
+    scorer = subjects.Scorer(m, s)
+    scorer.known.trim = lambda: subjects.Words.trim(scorer.known, 0)
+    assert all(np.allclose(scorer.scores(texts)[1], p, atol=1e-4) for _ in range(2))
 
 
 @needs_tables
