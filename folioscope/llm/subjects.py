@@ -23,6 +23,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -51,7 +52,7 @@ class Settings:
     batches: int = 8
     least: int = 64
     #: Partitions over which the gradient of a batch is worked out.
-    shards: int = 6
+    shards: int = 4
     rate: float = 0.3
     #: Below one half, since missing labels pull the probabilities down.
     threshold: float = 0.15
@@ -177,12 +178,18 @@ class Scorer:
         return p.document, self.model.outputs(total / np.maximum(n, 1)[:, None].astype(np.float32))
 
 
-@dataclass
-class Examples:
-    """Labelled documents as features, ready for gradients: each distinct feature with the paragraphs that it stands in."""
+class Examples(NamedTuple):
+    """Labelled documents as features, ready for gradients.
+
+    `flat` has the features by paragraph (`of_flat`), `rows` the distinct ones, which stand
+    `times` times each in the paragraphs that `of_row` lists.
+    """
 
     flat: np.ndarray
     of_flat: np.ndarray
+    rows: np.ndarray
+    times: np.ndarray
+    of_row: np.ndarray
     document: np.ndarray
     truth: np.ndarray
 
@@ -192,21 +199,22 @@ class Examples:
         p = Paragraphs.read(texts, known)
         sizes = np.array([len(f) for f in known.features], dtype=np.int64)[p.words]
         flat = np.concatenate([known.features[w] for w in p.words] + [p.pairs]) if len(p) else np.empty(0, dtype=np.int32)
-        of_flat = np.concatenate([np.repeat(p.of_word, sizes), p.of_pair])
+        of_flat = np.concatenate([np.repeat(p.of_word, sizes), p.of_pair]).astype(np.int32)
         order = np.argsort(of_flat, kind="stable")
+        by_row = np.argsort(flat, kind="stable")
+        rows, times = np.unique(flat, return_counts=True)
         truth = np.zeros((len(texts), len(places)), dtype=np.float32)
         for d, listed in enumerate(truths):
             truth[d, [places[t] for t in listed]] = 1
-        return cls(flat[order], of_flat[order].astype(np.int64), p.document, truth)
+        return cls(flat[order], of_flat[order], rows, times.astype(np.int32), of_flat[by_row], p.document.astype(np.int32), truth)
 
     def pack(self) -> list[bytes]:
-        return [self.flat.tobytes(), self.of_flat.tobytes(), self.document.tobytes(), self.truth.tobytes()]
+        return [a.tobytes() for a in self]
 
     @classmethod
     def unpack(cls, parts: list[bytes], outputs: int) -> Examples:
-        kinds = (np.int32, np.int64, np.int64, np.float32)
-        flat, of_flat, document, truth = (np.frombuffer(p, dtype=k) for p, k in zip(parts, kinds, strict=True))
-        return cls(flat, of_flat, document, truth.reshape(-1, outputs))
+        *whole, truth = parts
+        return cls(*(np.frombuffer(a, dtype=np.int32) for a in whole), np.frombuffer(truth, dtype=np.float32).reshape(-1, outputs))
 
     def gradient(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct features, and the gradients of their embeddings, of the weights and of the biases."""
@@ -217,10 +225,9 @@ class Examples:
         none = np.repeat(np.exp(np.add.reduceat(np.log1p(-p), starts, axis=0)), np.diff(starts, append=len(p)), axis=0)
         whole = np.clip(1 - none, 1e-6, 1.0)
         slope = np.where(self.truth[self.document] > 0, -p * (none / whole), p).astype(np.float32)
-        order = np.argsort(self.flat, kind="stable")
-        rows, place = np.unique(self.flat[order], return_inverse=True)
         change = (slope @ m.weight.T / n).astype(np.float32)
-        return rows, summed(change, self.of_flat[order], place, len(rows)), mean.T @ slope, slope.sum(axis=0)
+        place = np.repeat(np.arange(len(self.rows)), self.times)
+        return self.rows, summed(change, self.of_row, place, len(self.rows)), mean.T @ slope, slope.sum(axis=0)
 
 
 class Adagrad:
