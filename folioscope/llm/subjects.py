@@ -252,6 +252,8 @@ def fit_subjects(documents: DataFrame, labels: DataFrame, subjects: list[int], s
     marks = labels.where(F.col("subject_id").isin(*subjects)).groupBy("doc_id").agg(F.sort_array(F.collect_set("subject_id")).alias("truth"))
     # The bound is on training data only: the documents with the smallest hashes.
     sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.max_labelled)
+    # A few bytes a document: below this bound the texts needn't be shuffled to find theirs.
+    sample = F.broadcast(sample) if s.max_labelled <= 100_000 else sample
     labelled = cut_lineage(
         documents.select("doc_id", "text").where("trim(text) <> ''").join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("truth").alias("truth"))
     )
