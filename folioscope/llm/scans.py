@@ -5,17 +5,18 @@ kind that applies:
 
 * `header`: words of a line at the edge of the page that runs through the file. The file's
   running lines are those that stand away from the left margin at the edge of some page, or
-  whose wording does so in the corpus; a line belongs to one if it equals it up to misread
-  characters.
+  whose wording does so in the corpus, and that are met on two pages of the file, up to
+  misread characters, or in two files, up to digits; a line belongs to one if it equals it up
+  to misread characters.
 * `pageno`: words of an edge line (or the rest of a header line) that is a page or folio
   number with its label and total.
 * `hyphen`: the last word of a line (or page) whose join with the next line's first word is
   a known word, while the parts are not, whatever mark stands at the break.
-* `misread`: a rare word from which confusable characters lead to a much more frequent one.
-  The anagram value of a word is the sum of the fifth powers of its character codes; a
-  confusion of characters changes it by a fixed difference, so that an equi-join on value
-  plus difference proposes the variants, which are then checked letter by letter and ranked
-  by frequency.
+* `misread`: a rare word from which up to two confusions of characters lead to a much more
+  frequent one. The anagram value of a word is the sum of the fifth powers of its character
+  codes; a confusion of characters changes it by a fixed difference, so that an equi-join of
+  values plus differences, one from either side, proposes the variants, which are then
+  checked letter by letter and ranked by frequency.
 
 `scan_paragraphs` then carries the repairs out: without headers and page numbers, with the
 parts of broken words joined and the corrections put in, the lines become paragraphs.
@@ -53,17 +54,17 @@ _EDGE = r"^[.,;:\[\]\"'¡!¿?«»$—–)…·]+|[.,;:\[\]\"'¡!¿?«»$—)…
 _EDGE_BRACKET = r"^[(.,;:\[\]\"'¡!¿?«»$—–)…·]+|[.,;:\[\]\"'¡!¿?«»$—)…·]+$"
 _NUMBER_PREFIX = r"(?i)^[^0-9a-z]*(?:exp-)?"
 
-_PAGE_LABEL = r"(?:f[s5]|fojas?|folio|hoja|p[aá][g9]|pagina|f[o0][jli]a|f[o0]l[il1][o0]|h[o0]ja|fol)\b\.?"
+_PAGE_LABEL = r"(?:f[s5]|fojas?|folio|hoja|p[aá][g9]|pagina|f[o0][jli]a|f[o0][il1][il1][o0]|h[o0]ja|fol)\b\.?"
 _DIGIT = r"[0-9oilzsbg]"
 _PAGE_NUMBER = re.compile(
-    rf"(?:{_PAGE_LABEL}\s*(?:n\s*[°º]?\s*\.?\s*)?(?:-\s*)?{_DIGIT}{{1,4}}(?:\s*(?:/|de)\s*{_DIGIT}{{1,4}})?(?:\s*(?:vta|vuelta|bis))?\.?"
-    rf"|-?\s*(?=[0-9oilzs/ -]*[0-9])[0-9oilzs]{{1,4}}(?:\s*(?:/|de)\s*[0-9oilzs]{{1,4}})?\s*-?(?:\s*vta\.?)?)"
+    rf"(?:{_PAGE_LABEL}\s*(?:n\s*[°º]?\s*\.?\s*)?(?:-\s*)?{_DIGIT}{{1,4}}(?:\s*(?:/|de)\s*{_DIGIT}{{1,4}})?(?:\s*(?:[vy][tf]a|vuelta|bis))?\.?"
+    rf"|-?\s*(?=[0-9oilzsbg/ -]*[0-9]){_DIGIT}{{1,4}}(?:\s*(?:/|de)\s*{_DIGIT}{{1,4}})?\s*-?(?:\s*[vy][tf]a\.?)?)"
 )
 _LABELLED_END = re.compile(rf"\s+(?:{_PAGE_LABEL}.*|-\s*[0-9]+\s*-|[0-9]{{1,3}}\s*(?:/|de)\s*[0-9]{{1,3}})$")
 
 
 def _plain(text: str) -> str:
-    return text.lower().translate(str.maketrans("áéíóúüñàè", "aeiouunae"))
+    return text.lower().translate(str.maketrans("áéíóúüñàè", "aeiouunae", "~"))
 
 
 def is_page_number(text: str) -> bool:
@@ -102,13 +103,31 @@ def lines_among(lines: list[str], running: list[str]) -> list[str]:
     return found
 
 
+def repeated(running: list[tuple[str, int, int, bool]]) -> list[str]:
+    """Of the candidates (line, first page, last page, seen in other files): those met on two pages or in other files.
+
+    Lines that are equal up to misread characters count as one.
+    """
+    grams = lambda t: Counter(t[i : i + 2] for i in range(len(t) - 1))
+    groups: list[list] = []
+    for line, first, last, elsewhere in running:
+        own = grams(line)
+        group = next((g for g in groups if any(_may_be_same(line, r, own, h) and _same_line(line, r) for r, h in g[3])), None)
+        if group is None:
+            groups.append([first, last, elsewhere, [(line, own)]])
+        else:
+            group[0], group[1], group[2] = min(group[0], first), max(group[1], last), group[2] or elsewhere
+            group[3].append((line, own))
+    return [r for first, last, elsewhere, lines in groups if elsewhere or first != last for r, _ in lines]
+
+
 def edge_readings(words: list[str]) -> list[tuple[str | None, list[str]]]:
     """How an edge line can be read, best first: the running line it would hold (None: none needed) and the kinds."""
     line, n = _plain(" ".join(words)), len(words)
-    ways: list[tuple[str | None, list[str]]] = [(line, ["header"] * n)]
     if is_page_number(line):
-        return [*ways, (None, ["pageno"] * n)]
-    for cut in range(1, min(n, 7)):
+        return [(None, ["pageno"] * n)]
+    ways: list[tuple[str | None, list[str]]] = [(line, ["header"] * n)]
+    for cut in range(n - 1, 0, -1):
         head, tail = words[: n - cut], words[n - cut :]
         if is_page_number(" ".join(tail)):
             ways.append((_plain(" ".join(head)), ["header"] * len(head) + ["pageno"] * cut))
@@ -130,15 +149,16 @@ def bare(col: Column) -> Column:
 
 def lines_of(words: DataFrame, readings: DataFrame, pages: DataFrame) -> DataFrame:
     """Each word once, with its line, place in the line, and the line's place on the page."""
+    kept = ["word_id", "reading_id", "ord", "text", "x0", "y0", *[c for c in words.columns if c == "x1"]]
+    order = W.partitionBy("reading_id").orderBy("ord", "word_id")
+    # Repeats of a word stand side by side in the order of its reading.
     once = (
-        words.where("word_id is not null and reading_id is not null and text <> ''")
-        .groupBy("word_id")
-        .agg(F.min(F.struct("reading_id", "ord", "text", "x0", "y0", *[c for c in words.columns if c == "x1"])).alias("w"))
-        .select("word_id", "w.*")
+        words.where("word_id is not null and reading_id is not null and text <> ''").select(*kept)
+        .withColumn("again", F.lag("word_id").over(order).eqNullSafe(F.col("word_id")))
+        .where("not again")
     )
-    order = W.partitionBy("reading_id").orderBy("ord", "word_id")
     jump = F.coalesce(F.abs(F.col("y0") - F.lag("y0").over(order)) > 5, F.lit(False))
-    lined = once.withColumn("line", F.sum(jump.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    lined = once.drop("again").withColumn("line", F.sum(jump.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     in_line = W.partitionBy("reading_id", "line")
     placed = (
         lined.withColumn("place", F.row_number().over(in_line.orderBy("ord", "word_id")))
@@ -149,14 +169,17 @@ def lines_of(words: DataFrame, readings: DataFrame, pages: DataFrame) -> DataFra
     return placed.join(where, "reading_id")
 
 
-def running_lines(placed: DataFrame, margin: float = 150.0) -> DataFrame:
-    """reading_id, line, kinds: the kind of each word of the edge lines that have any."""
-    edge = placed.where("line <= 3 or line >= last_line - 2")
+def running_lines(placed: DataFrame, margin: float = 150.0, top: int = 4, bottom: int = 3, chunk: int = 2000) -> DataFrame:
+    """reading_id, line, kinds: the kind of each word of the edge lines that have any.
+
+    The edge of a page are its first `top` and last `bottom` lines; a line stands away from
+    the left margin if it starts beyond `margin` points. Lines of a file are compared with its
+    running lines in chunks of `chunk`, which bounds a row but leaves nothing out.
+    """
+    edge = placed.where((F.col("line") < top) | (F.col("line") > F.col("last_line") - bottom))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), " ")
     lines = cut_lineage(
-        edge.groupBy("file_sha", "page_id", "reading_id", "line").agg(
-            text.alias("text"), F.min_by("x0", "place").alias("x0"), F.count("*").alias("width")
-        )
+        edge.groupBy("file_sha", "page_id", "reading_id", "line").agg(text.alias("text"), F.min_by("x0", "place").alias("x0"))
     )
 
     @F.pandas_udf("string")
@@ -164,27 +187,32 @@ def running_lines(placed: DataFrame, margin: float = 150.0) -> DataFrame:
         plain = t.map(lambda s: _plain(s))
         return plain.map(lambda s: None if is_page_number(s) else _LABELLED_END.sub("", s))
 
-    parts = cut_lineage(
-        lines.where("width <= 14").select("file_sha", "page_id", "x0", header_part("text").alias("part")).where("part is not null and length(part) > 3")
+    # Nothing but digits and marks is no running line.
+    parts = lines.select("file_sha", "page_id", "x0", header_part("text").alias("part")).where("part rlike '[a-z].*[a-z].*[a-z]'")
+    # Each line of a file once, before anything is compared.
+    met = cut_lineage(
+        parts.groupBy("file_sha", "part").agg(
+            F.count("*").alias("n"), F.count_if(F.col("x0") > margin).alias("off"), F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.countDistinct("page_id").alias("pages")
+        )
     )
     wording = F.regexp_replace("part", r"[0-9]", "#")
     corpus = (
-        parts.groupBy(wording.alias("wording"))
-        .agg(F.count("*").alias("n"), F.count(F.when(F.col("x0") > margin, 1)).alias("off"))
-        .where("off >= 2 and off * 5 >= n")
-        .select("wording")
+        met.groupBy(wording.alias("wording")).agg(F.sum("n").alias("n"), F.sum("off").alias("off"), F.min("file_sha").alias("low"), F.max("file_sha").alias("high"))
+        .where("off >= 2 and off * 5 >= n").select("wording", (F.col("low") < F.col("high")).alias("elsewhere"))
     )
-    known = parts.withColumn("wording", wording).join(corpus.withColumn("seen", F.lit(True)), "wording", "left")
     chosen = (
-        known.groupBy("file_sha", "part")
-        .agg(F.countDistinct("page_id").alias("pages"), F.max((F.col("x0") > margin) | F.coalesce("seen", F.lit(False))).alias("runs"))
-        .where("runs and file_sha is not null")
+        met.where("file_sha is not null").withColumn("wording", wording).join(corpus, "wording", "left").where("off > 0 or elsewhere is not null")
+        .select("file_sha", "part", "pages", "first", "last", F.coalesce("elsewhere", F.lit(False)).alias("elsewhere"))
     )
 
     @F.pandas_udf("array<string>")
     def held(t: pd.Series) -> pd.Series:
         return t.map(lambda s: list({line for line, _ in edge_readings(s.split(" ")) if line is not None}))
 
+    @F.pandas_udf("array<string>")
+    def running_of(candidates: pd.Series) -> pd.Series:
+        return candidates.map(lambda c: repeated([(r["part"], r["first"], r["last"], r["elsewhere"]) for r in c]))
+
     @F.pandas_udf("array<string>")
     def among(asked: pd.Series, running: pd.Series) -> pd.Series:
         return pd.Series([lines_among(list(a), list(r)) for a, r in zip(asked, running, strict=True)])
@@ -198,10 +226,16 @@ def running_lines(placed: DataFrame, margin: float = 150.0) -> DataFrame:
     asked = cut_lineage(texts.select("file_sha", "text", F.explode(held("text")).alias("part")))
     n = F.length("part")
     slots = F.sequence(F.floor(F.greatest(F.lit(0), 0.88 * n - 0.75) / 8), F.floor((n + 0.75) / 0.88 / 8))
-    known_parts = chosen.select("file_sha", "part", "pages", F.explode(slots).alias("slot")).groupBy("file_sha", "slot").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(-F.col("pages"), "part"))), lambda p: p["part"]).alias("running")
+    known_parts = (
+        chosen.select("file_sha", "part", "pages", "first", "last", "elsewhere", F.explode(slots).alias("slot")).groupBy("file_sha", "slot")
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("order"), "part", "first", "last", "elsewhere"))).alias("candidates"))
+        .select("file_sha", "slot", running_of("candidates").alias("running")).where("size(running) > 0")
+    )
+    turn = F.row_number().over(W.partitionBy("file_sha", "slot").orderBy("part"))
+    by_slot = (
+        asked.select("file_sha", "part", F.floor(n / 8).alias("slot")).distinct().withColumn("turn", F.floor((turn - 1) / chunk))
+        .groupBy("file_sha", "slot", "turn").agg(F.collect_list("part").alias("asked"))
     )
-    by_slot = asked.select("file_sha", "part", F.floor(n / 8).alias("slot")).groupBy("file_sha", "slot").agg(F.collect_set("part").alias("asked"))
     hits = by_slot.join(known_parts, ["file_sha", "slot"]).select("file_sha", F.explode(among("asked", "running")).alias("part"))
     found = asked.join(hits, ["file_sha", "part"]).groupBy("file_sha", "text").agg(F.collect_set("part").alias("found"))
     # Texts keep their own blanks out, so that the words can be told apart again.
@@ -216,9 +250,11 @@ def vocabulary(placed: DataFrame, pages: DataFrame) -> DataFrame:
     """word, n, native: how often a word stands within lines, and in native text."""
     inside = placed.where("place > 1 and place < width").select("text", (F.col("route") == "nativo").cast("int").alias("native"))
     indexed = pages.where("page_text is not null").select(F.explode(F.split("page_text", r"\s+")).alias("text"), F.lit(0).alias("native"))
+    # Counted as written first, so that only distinct forms are stripped of their marks.
+    written = inside.unionByName(indexed).groupBy("text").agg(F.count("*").alias("n"), F.sum("native").alias("native"))
     return (
-        inside.unionByName(indexed).where("text not like '(%'").select(bare(F.col("text")).alias("word"), "native")
-        .where("word <> ''").groupBy("word").agg(F.count("*").alias("n"), F.sum("native").alias("native"))
+        written.where("text not like '(%'").select(bare(F.col("text")).alias("word"), "n", "native")
+        .where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"), F.sum("native").alias("native"))
     )
 
 
@@ -299,7 +335,7 @@ def _value(text: str) -> int:
     return sum((ord(c) % 1024 + 1) ** 5 for c in text)
 
 
-def confusion_steps(shown: str, meant: str, most: int = 3) -> int | None:
+def confusion_steps(shown: str, meant: str, most: int = 2) -> int | None:
     """How many confusions lead from the shown to the meant word; None if others are needed."""
     best: dict[tuple[int, int], int] = {(0, 0): 0}
     for i in range(len(shown) + 1):
@@ -317,33 +353,32 @@ def confusion_steps(shown: str, meant: str, most: int = 3) -> int | None:
     return best.get((len(shown), len(meant)))
 
 
-def corrections(vocab: DataFrame, forms: DataFrame, ratio: float = 8.0, joined: DataFrame | None = None) -> DataFrame:
+def corrections(vocab: DataFrame, forms: DataFrame, ratio: float = 8.0, joined: DataFrame | None = None, frequent: int = 4) -> DataFrame:
     """word, correction: the most likely frequent variant of each rare or unknown form.
 
     `forms` has the distinct bare words of the readings with their counts (word, seen).
-    `joined` has further forms to correct, which do not count as seen.
+    `joined` has further forms to correct, which do not count as seen. A variant must be seen
+    `frequent` times, and `ratio` times as often as the form; it is up to two confusions away.
     """
-    single = {(_value(b) - _value(a)) for a, b in CONFUSIONS}
-    deltas = sorted(single | {x + y for x in single for y in single} - {0})
+    single = sorted({(_value(b) - _value(a)) for a, b in CONFUSIONS} | {0})
     no_accent = lambda c: F.translate(c, "áéíóúü", "aeiouu")
-    frequent = vocab.select("word", "n").unionByName(forms.select("word", F.col("seen").alias("n"))).groupBy("word").agg(F.max("n").alias("n")).where(
-        "n >= 4 and length(word) >= 2"
+    often = vocab.select("word", "n").unionByName(forms.select("word", F.col("seen").alias("n"))).groupBy("word").agg(F.max("n").alias("n")).where(
+        (F.col("n") >= frequent) & (F.length("word") >= 2)
     ).select(
         F.col("word").alias("meant"), no_accent(F.col("word")).alias("meant_plain"), F.col("n").alias("n_meant")
-    ).withColumn("value", _anagram(F.col("meant_plain")))
+    )
     asked = forms if joined is None else forms.unionByName(joined.join(forms, "word", "left_anti"))
     rare = (
         asked.join(vocab, "word", "left")
         .select("word", F.coalesce("n", "seen").alias("n"), F.coalesce("native", F.lit(0)).alias("native"), no_accent(F.col("word")).alias("plain"))
         .where("native = 0 and length(word) >= 2 and word rlike '[a-z]'")
-        .withColumn("own", _anagram(F.col("plain")))
-    )
-    proposed = (
-        rare.withColumn("delta", F.explode(F.array(*[F.lit(d) for d in deltas])))
-        .withColumn("value", F.col("own") + F.col("delta"))
-        .join(frequent, "value")
-        .where(F.col("n_meant") >= F.col("n") * ratio)
     )
+    # The form plus one difference meets the variant minus another.
+    up = rare.select("word", "plain", "n", F.explode(F.transform(F.array(*[F.lit(d) for d in single]), lambda d: _anagram(F.col("plain")) + d)).alias("value"))
+    down = often.select("meant", "meant_plain", "n_meant", F.explode(F.transform(F.array(*[F.lit(d) for d in single]), lambda d: _anagram(F.col("meant_plain")) - d)).alias("value"))
+    longer = F.length("plain") - F.length("meant_plain")
+    proposed = up.join(down, "value").where((F.col("n_meant") >= F.col("n") * ratio) & (F.abs(longer) <= 4) & (F.col("word") != F.col("meant"))).select(
+        "word", "plain", "meant", "meant_plain", "n_meant").distinct()
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
