@@ -109,16 +109,23 @@ def repeated(running: list[tuple[str, int, int, bool]]) -> list[str]:
     Lines that are equal up to misread characters count as one.
     """
     grams = lambda t: Counter(t[i : i + 2] for i in range(len(t) - 1))
-    groups: list[list] = []
-    for line, first, last, elsewhere in running:
+    kept, open_groups = [], []
+    for line, first, last, elsewhere in sorted(running, key=lambda r: not (r[3] or r[1] != r[2])):
         own = grams(line)
-        group = next((g for g in groups if any(_may_be_same(line, r, own, h) and _same_line(line, r) for r, h in g[3])), None)
+        equal = lambda g: any(_may_be_same(line, r, own, h) and _same_line(line, r) for r, h in g)  # noqa: B023, E731
+        if elsewhere or first != last or equal(kept):
+            kept.append((line, own))
+            continue
+        group = next((g for g in open_groups if equal(g[1])), None)
         if group is None:
-            groups.append([first, last, elsewhere, [(line, own)]])
+            open_groups.append([first, [(line, own)]])
+        elif group[0] == first:
+            group[1].append((line, own))
         else:
-            group[0], group[1], group[2] = min(group[0], first), max(group[1], last), group[2] or elsewhere
-            group[3].append((line, own))
-    return [r for first, last, elsewhere, lines in groups if elsewhere or first != last for r, _ in lines]
+            kept += [*group[1], (line, own)]
+            open_groups.remove(group)
+    found = {r for r, _ in kept}
+    return [r[0] for r in running if r[0] in found]
 
 
 def edge_readings(words: list[str]) -> list[tuple[str | None, list[str]]]:
@@ -236,7 +243,9 @@ def running_lines(placed: DataFrame, margin: float = 150.0, top: int = 4, bottom
         asked.select("file_sha", "part", F.floor(n / 8).alias("slot")).distinct().withColumn("turn", F.floor((turn - 1) / chunk))
         .groupBy("file_sha", "slot", "turn").agg(F.collect_list("part").alias("asked"))
     )
-    hits = by_slot.join(known_parts, ["file_sha", "slot"]).select("file_sha", F.explode(among("asked", "running")).alias("part"))
+    # Heavy for its few bytes: Spark would put it into too few tasks.
+    met_lists = by_slot.join(known_parts, ["file_sha", "slot"]).repartition(placed.sparkSession.sparkContext.defaultParallelism)
+    hits = met_lists.select("file_sha", F.explode(among("asked", "running")).alias("part"))
     found = asked.join(hits, ["file_sha", "part"]).groupBy("file_sha", "text").agg(F.collect_set("part").alias("found"))
     # Texts keep their own blanks out, so that the words can be told apart again.
     return (
@@ -249,7 +258,7 @@ def running_lines(placed: DataFrame, margin: float = 150.0, top: int = 4, bottom
 def vocabulary(placed: DataFrame, pages: DataFrame) -> DataFrame:
     """word, n, native: how often a word stands within lines, and in native text."""
     inside = placed.where("place > 1 and place < width").select("text", (F.col("route") == "nativo").cast("int").alias("native"))
-    indexed = pages.where("page_text is not null").select(F.explode(F.split("page_text", r"\s+")).alias("text"), F.lit(0).alias("native"))
+    indexed = pages.where("page_text is not null").select(F.explode(F.split(F.translate("page_text", "\n\t\r\f\u00a0", "     "), " ")).alias("text"), F.lit(0).alias("native"))
     # Counted as written first, so that only distinct forms are stripped of their marks.
     written = inside.unionByName(indexed).groupBy("text").agg(F.count("*").alias("n"), F.sum("native").alias("native"))
     return (
@@ -265,19 +274,20 @@ def broken_words(flow: DataFrame, vocab: DataFrame) -> DataFrame:
     line end, which keep their hyphen and are no broken words.
     `flow`: the words of the running text (no headers, no page numbers).
     """
-    in_line = W.partitionBy("reading_id", "line")
-    body = flow.withColumn("first", F.row_number().over(in_line.orderBy("place")) == 1).withColumn(
-        "last", F.row_number().over(in_line.orderBy(F.desc("place"))) == 1
+    order = W.partitionBy("reading_id").orderBy("line")
+    end = F.struct("text", "word_id")
+    lines = (
+        flow.groupBy("reading_id", "line")
+        .agg(F.min_by(end, "place").alias("first"), F.max_by(end, "place").alias("last"), F.first("file_sha").alias("file_sha"), F.first("page_no").alias("page_no"), F.first("route").alias("route"))
+        .withColumn("next", F.lead("first").over(order))
+        .withColumn("rank", F.row_number().over(order))
     )
-    ends = body.where("first or last").withColumn("rank", F.dense_rank().over(W.partitionBy("reading_id").orderBy("line")))
-    tops = ends.where("first").groupBy("reading_id", "rank").agg(F.min_by(F.struct("text", "word_id"), "place").alias("next"))
-    tails = ends.where("last").select("reading_id", "file_sha", "page_no", "route", "word_id", "text", "rank")
-    inner = tails.join(tops.withColumn("rank", F.col("rank") - 1), ["reading_id", "rank"], "left")
+    inner = lines.select("reading_id", "file_sha", "page_no", "route", "last.word_id", "last.text", "next")
     # The first line of the next page: of the same route if there is one.
     starts = (
-        ends.where("first and rank = 1")
+        lines.where("rank = 1")
         .groupBy("file_sha", F.col("page_no").alias("of_page"), F.col("route").alias("of_route"))
-        .agg(F.min(F.struct("text", "word_id")).alias("over"))
+        .agg(F.min("first").alias("over"))
     )
     over = starts.groupBy("file_sha", (F.col("of_page") - 1).alias("page_no")).agg(
         F.map_from_entries(F.collect_list(F.struct("of_route", "over"))).alias("over")
@@ -299,15 +309,12 @@ def broken_words(flow: DataFrame, vocab: DataFrame) -> DataFrame:
         bare(F.col("next")).alias("b"),
         (F.col("next").rlike(r"^[a-záéíóúñü(0-9]")).alias("lower"),
     ).where("length(a) > 0")
-    count = vocab.select("word", "n")
-    looked = (
-        parts.withColumn("joined", F.concat("a", "b")).withColumn("compound", F.concat_ws("-", "a", "b"))
-        .join(count.toDF("a", "n_a"), "a", "left")
-        .join(count.toDF("b", "n_b"), "b", "left")
-        .join(count.toDF("joined", "n_joined"), "joined", "left")
-        .join(count.toDF("compound", "n_compound"), "compound", "left")
-        .na.fill(0, ["n_a", "n_b", "n_joined", "n_compound"])
-    )
+    parts = parts.withColumn("joined", F.concat("a", "b")).withColumn("compound", F.concat_ws("-", "a", "b"))
+    # The four forms of a break are looked up together.
+    forms = ("a", "b", "joined", "compound")
+    asked = parts.select("word_id", F.explode(F.array(*[F.struct(F.lit(f).alias("form"), F.col(f).alias("word")) for f in forms])).alias("f")).select("word_id", "f.form", "f.word")
+    counts = asked.distinct().join(vocab.select("word", "n"), "word").groupBy("word_id").agg(*[F.max(F.when(F.col("form") == f, F.col("n"))).alias(f"n_{f}") for f in forms])
+    looked = parts.join(counts, "word_id", "left").na.fill(0, [f"n_{f}" for f in forms])
     marked = F.col("mark") != ""
     known = F.col("n_joined") > 0
     unknown_part = F.least("n_a", "n_b") * 50 <= F.col("n_joined")
@@ -373,9 +380,10 @@ def corrections(vocab: DataFrame, forms: DataFrame, ratio: float = 8.0, joined:
         .select("word", F.coalesce("n", "seen").alias("n"), F.coalesce("native", F.lit(0)).alias("native"), no_accent(F.col("word")).alias("plain"))
         .where("native = 0 and length(word) >= 2 and word rlike '[a-z]'")
     )
-    # The form plus one difference meets the variant minus another.
-    up = rare.select("word", "plain", "n", F.explode(F.transform(F.array(*[F.lit(d) for d in single]), lambda d: _anagram(F.col("plain")) + d)).alias("value"))
-    down = often.select("meant", "meant_plain", "n_meant", F.explode(F.transform(F.array(*[F.lit(d) for d in single]), lambda d: _anagram(F.col("meant_plain")) - d)).alias("value"))
+    # The form plus one difference meets the variant minus another; values are worked out before the differences are put on.
+    differences = F.explode(F.array(*[F.lit(d) for d in single]))
+    up = rare.withColumn("own", _anagram(F.col("plain"))).withColumn("delta", differences).select("word", "plain", "n", (F.col("own") + F.col("delta")).alias("value"))
+    down = often.withColumn("own", _anagram(F.col("meant_plain"))).withColumn("delta", differences).select("meant", "meant_plain", "n_meant", (F.col("own") - F.col("delta")).alias("value"))
     longer = F.length("plain") - F.length("meant_plain")
     proposed = up.join(down, "value").where((F.col("n_meant") >= F.col("n") * ratio) & (F.abs(longer) <= 4) & (F.col("word") != F.col("meant"))).select(
         "word", "plain", "meant", "meant_plain", "n_meant").distinct()
