@@ -16,10 +16,14 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """node, component (its smallest node) of an undirected graph, alternating big and small stars.
 
     Each round is two joins' worth of grouping; a hub is never collected, since the
-    smallest neighbour comes from an aggregation and is joined back.
+    smallest neighbour comes from an aggregation and is joined back. The rounds grow with the
+    logarithm of the nodes; more than `most_rounds` raise, so that no result is incomplete.
     """
     now = cut_lineage(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(
         F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct())
+    # Number and checksum of the edges: one pass tells whether a round changed them.
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
+    before = mark(now)
     for _ in range(most_rounds):
         # Big star: neighbours above a node link to the smallest of its neighbourhood.
         both = now.select("v", "u").unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -28,11 +32,13 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         # Small star: neighbours below a node, and the node, link to the smallest of them.
         low = big.groupBy("v").agg(F.min("u").alias("m"))
         small = big.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").unionByName(low.select("v", F.col("m").alias("u"))).distinct()
-        after = cut_lineage(small)
-        changed = after.exceptAll(now).limit(1).count() or now.exceptAll(after).limit(1).count()
-        now = after
-        if not changed:
+        now = cut_lineage(small)
+        after = mark(now)
+        if after == before:
             break
+        before = after
+    else:
+        raise RuntimeError(f"the components did not settle within {most_rounds} rounds")
     nodes = now.select(F.col("v").alias("node"), F.col("u").alias("component"))
     heads = now.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     return nodes.unionByName(heads).distinct()

@@ -48,6 +48,30 @@ class Registry:
                 out.add(s.name)
         return [n for n in self.stages if n in out]
 
+    def reach(self, held: dict[str, str] | None = None) -> list[tuple[str, str, str]]:
+        """(from, to, how): what a stage that isn't current makes stale, over any number of steps.
+
+        `same` reaches the same unit, `up` the unit that holds it (`held` names the scope that
+        holds another, as pages are held by files), `all` every unit.
+        """
+        held = held or {}
+        ways: dict[str, dict[str, set[str]]] = {}
+        for s in self.stages.values():
+            mine: dict[str, set[str]] = {"same": set(), "up": set(), "all": set()}
+            for need in s.needs:
+                n, theirs = self.stages[need], ways[need]
+                if n.scope == s.scope:
+                    mine["same"] |= {need} | theirs["same"]
+                    mine["up"] |= theirs["up"]
+                    mine["all"] |= theirs["all"]
+                elif held.get(n.scope) == s.scope:
+                    mine["up"] |= {need} | theirs["same"]
+                    mine["all"] |= theirs["up"] | theirs["all"]
+                else:
+                    mine["all"] |= {need} | theirs["same"] | theirs["up"] | theirs["all"]
+            ways[s.name] = mine
+        return [(f, to, how) for to, mine in ways.items() for how, names in mine.items() for f in sorted(names)]
+
 
 def latest_seals(seals: DataFrame) -> DataFrame:
     """The last seal of each stage and unit."""
@@ -55,41 +79,64 @@ def latest_seals(seals: DataFrame) -> DataFrame:
     return seals.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def unit_states(units: DataFrame, seals: DataFrame, registry: Registry) -> DataFrame:
+def unit_states(units: DataFrame, seals: DataFrame, registry: Registry, holders: DataFrame | None = None, held: dict[str, str] | None = None) -> DataFrame:
     """stage, unit, state: `current`, `stale`, `failed` or `never`.
 
-    `units`: stage, unit. A seal of another signature is stale; so is every unit of a
-    stage whose own unit, or any unit of another scope, is stale in a stage that it needs.
+    `units`: stage, unit. A seal of another signature, or an invalid one, is stale. So is a unit
+    if a stage that its own needs, near or far, isn't current: for the same unit within a
+    scope; for any unit that it holds where `held` says which scope holds which and `holders`
+    (unit, holder) which unit holds which; else for any unit at all. The plan has two joins by
+    unit and two by short lists, however many stages there are.
     """
     spark = units.sparkSession
-    wanted = spark.createDataFrame([(s.name, s.signature, s.scope) for s in registry.stages.values()], "stage string, wanted string, scope string")
+    wanted = spark.createDataFrame([(s.name, s.signature) for s in registry.stages.values()], "stage string, wanted string")
     own = (
-        units.join(wanted, "stage").join(latest_seals(seals).select("stage", "unit", "signature", F.col("state").alias("sealed")), ["stage", "unit"], "left")
-        .withColumn("own", F.when(F.col("signature").isNull(), "never").when(F.col("sealed") == "failed", "failed").when(F.col("signature") != F.col("wanted"), "stale").otherwise("current"))
-        .select("stage", "unit", "scope", F.col("own").alias("state"))
+        units.join(F.broadcast(wanted), "stage").join(latest_seals(seals).select("stage", "unit", "signature", F.col("state").alias("sealed")), ["stage", "unit"], "left")
+        .withColumn("own", F.when(F.col("signature").isNull(), "never").when(F.col("sealed") == "failed", "failed")
+            .when((F.col("sealed") == "invalid") | (F.col("signature") != F.col("wanted")), "stale").otherwise("current"))
+        .select("stage", "unit", F.col("own").alias("state"))
     )
-    done = None
-    for name, stage in registry.stages.items():
-        mine = own.where(F.col("stage") == name)
-        if done is not None and stage.needs:
-            bad = done.where(F.col("stage").isin(*stage.needs) & (F.col("state") != "current"))
-            same = bad.where(F.col("scope") == stage.scope).select("unit", F.lit(True).alias("hit")).distinct()
-            other = bad.where(F.col("scope") != stage.scope).limit(1).select(F.lit(True).alias("all_hit"))
-            mine = mine.join(same, "unit", "left").join(other, F.lit(True), "left").withColumn(
-                "state", F.when((F.col("state") == "current") & (F.coalesce("hit", "all_hit", F.lit(False))), "stale").otherwise(F.col("state"))
-            ).select("stage", "unit", "scope", "state")
-        done = mine if done is None else done.unionByName(mine)
-    return done.select("stage", "unit", "state")
-
-
-def run_stale(states: DataFrame, registry: Registry, work: dict[str, Callable[[DataFrame], None]], at: str) -> list[tuple[str, str, str]]:
+    # At most the square of the number of stages.
+    pairs = F.broadcast(spark.createDataFrame(registry.reach(held if holders is not None else None), "stage string, to string, how string"))
+    bad = own.where("state <> 'current'").select("stage", "unit").join(pairs, "stage")
+    hit = bad.where("how = 'same'").select(F.col("to").alias("stage"), "unit")
+    if holders is not None:
+        up = bad.where("how = 'up'").select(F.col("to").alias("stage"), "unit").distinct()
+        hit = hit.unionByName(up.join(holders.select("unit", "holder"), "unit").select("stage", F.col("holder").alias("unit")))
+    hit = hit.distinct().withColumn("hit", F.lit(True))
+    everywhere = bad.where("how = 'all'").select(F.col("to").alias("stage")).distinct().withColumn("all_hit", F.lit(True))
+    inherits = (F.col("state") == "current") & F.coalesce("hit", "all_hit", F.lit(False))
+    return own.join(hit, ["stage", "unit"], "left").join(everywhere, "stage", "left").select("stage", "unit", F.when(inherits, "stale").otherwise(F.col("state")).alias("state"))
+
+
+def seals_for(units: DataFrame, stage: Stage, outcome: str, at: str) -> DataFrame:
+    """The seals of a stage's units (unit) after a run: stage, unit, signature, state, sealed_at."""
+    return units.select(
+        F.lit(stage.name).alias("stage"), "unit", F.lit(stage.signature).alias("signature"), F.lit(outcome).alias("state"), F.lit(at).cast("timestamp").alias("sealed_at")
+    )
+
+
+def invalidate(seals: DataFrame, registry: Registry, names: set[str], at: str) -> DataFrame:
+    """The seals with an invalid one on top for every unit of the stages and of all that depend on them."""
+    hit = registry.downstream(names)
+    over = latest_seals(seals).where(F.col("stage").isin(*hit)).withColumn("state", F.lit("invalid")).withColumn("sealed_at", F.lit(at).cast("timestamp"))
+    return seals.unionByName(over.select(*seals.columns))
+
+
+def run_stale(
+    states: DataFrame, registry: Registry, work: dict[str, Callable[[DataFrame], None]], at: str, cancelled: Callable[[], bool] = lambda: False
+) -> list[tuple[str, str, str]]:
     """Run each stage on its units that aren't current; (stage, signature, outcome) as sealed.
 
     `work` gets the units as a DataFrame and writes its own output. A stage that fails is
-    sealed `failed` and the stages that need it are left for the next run.
+    sealed `failed` and the stages that need it are left for the next run; a later stage over
+    whole cases, which may have missed what failed, is sealed `partial`. `cancelled` is asked
+    before each stage.
     """
     sealed, broken = [], set()
     for name, stage in registry.stages.items():
+        if cancelled():
+            break
         if name not in work or broken & set(stage.needs):
             broken |= {name} if broken & set(stage.needs) else set()
             continue
@@ -98,7 +145,7 @@ def run_stale(states: DataFrame, registry: Registry, work: dict[str, Callable[[D
             continue
         try:
             work[name](units)
-            sealed.append((name, stage.signature, "done"))
+            sealed.append((name, stage.signature, "partial" if broken and stage.scope == "case" else "done"))
         except Exception:  # one stage's failure must not lose the others' work
             broken.add(name)
             sealed.append((name, stage.signature, "failed"))

@@ -51,15 +51,23 @@ def outliers_by_median(df: DataFrame, group: str, value: str, least: int = 5, fa
     return known.join(medians, group).where(F.col(value) > F.col("median") * factor)
 
 
-def confusion(predicted: DataFrame, truth: DataFrame, keys: list[str], value: str, flagged: Column) -> DataFrame:
-    """Counts per field of hit, flagged_error, silent_error, omission, correct_null and not_found.
+def confusion(predicted: DataFrame, truth: DataFrame, keys: list[str], value: str, flagged: Column, conflict: Column | None = None, others: Column | None = None) -> DataFrame:
+    """Counts per field of hit, flagged_error, silent_error, omission, correct_null, not_found, in_conflict and rescuable.
 
-    Both sides have the keys and `value`; `flagged` says whether a prediction was marked as doubtful.
+    Both sides have the keys and `value`; `flagged` says whether a prediction was marked as
+    doubtful, `conflict` whether its readings differ. A conflict is rescuable if one of
+    `others`, the values it wavers between, is the truth.
     """
-    p = predicted.select(*keys, F.col(value).alias("p"), flagged.alias("doubtful"), F.lit(True).alias("known"))
+    no = F.lit(False)
+    p = predicted.select(
+        *keys, F.col(value).alias("p"), flagged.alias("doubtful"), F.lit(True).alias("known"), (no if conflict is None else F.coalesce(conflict, no)).alias("torn"),
+        (F.array().cast("array<string>") if others is None else others).alias("others"),
+    )
     t = truth.select(*keys, F.col(value).alias("t"))
     kind = (
         F.when(F.col("known").isNull(), "not_found")
+        .when(F.col("torn") & F.coalesce(F.array_contains("others", F.col("t").cast("string")), no), "rescuable")
+        .when(F.col("torn"), "in_conflict")
         .when(F.col("p").isNull() & F.col("t").isNull(), "correct_null")
         .when(F.col("p").isNull(), "omission")
         .when(F.col("p").eqNullSafe(F.col("t")), "hit")

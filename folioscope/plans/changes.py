@@ -11,15 +11,26 @@ from folioscope.sources.tables import table
 
 CATALOGUE = Catalogue()
 
-#: The stages of the pipeline with what they need; settings enter the signature.
+# The stages of the pipeline, their scope and what they need.
 PIPELINE = pipeline.Registry(
     [
-        pipeline.Stage("read", "page", version=2),
-        pipeline.Stage("classify", "page", ("read",)),
+        pipeline.Stage("ingest", "file"),
+        pipeline.Stage("read", "page", ("ingest",), version=2),
+        pipeline.Stage("classify", "file", ("read",)),
         pipeline.Stage("segment", "file", ("classify",)),
+        pipeline.Stage("folios", "file", ("read",)),
+        pipeline.Stage("tables", "file", ("read", "segment")),
+        pipeline.Stage("numbers_twice", "file", ("read", "classify")),
         pipeline.Stage("extract", "file", ("segment",)),
-        pipeline.Stage("identity", "case", ("extract",)),
-        pipeline.Stage("index", "page", ("read",)),
+        pipeline.Stage("normalise", "file", ("extract",)),
+        pipeline.Stage("lines", "file", ("tables", "extract", "classify"), version=2),
+        pipeline.Stage("identity", "case", ("normalise",)),
+        pipeline.Stage("index", "case", ("read",)),
+        pipeline.Stage("entities", "case", ("index", "segment")),
+        pipeline.Stage("chronology", "case", ("normalise",)),
+        pipeline.Stage("interpret", "case", ("identity", "extract")),
+        pipeline.Stage("procurements", "case", ("lines", "entities", "chronology")),
+        pipeline.Stage("findings", "case", ("procurements",)),
     ]
 )
 
@@ -54,31 +65,45 @@ def file_findings(spark: SparkSession, folder: str) -> DataFrame:
     return decisions.upsert(old, f, "sha256")
 
 
+_FILE_STAGES, _CASE_STAGES = ([n for n, s in PIPELINE.stages.items() if s.scope == k] for k in ("file", "case"))
+
+
 @CATALOGUE.add(
-    "with s as (select page_id, arg_max(engine_version, created_at) as version from readings group by page_id), u as (select p.page_id, s.version from case_pages p left join s using (page_id))"
-    " select 'read' as stage, page_id as unit, case when version is null then 'never' when version = '2.0' then 'current' else 'stale' end as state from u"
-    " union all select 'classify', page_id, case when version is null then 'never' when version = '2.0' then 'current' else 'stale' end from u"
+    "with s as (select page_id, arg_max(engine_version, created_at) as version from readings group by page_id),"
+    " u as (select p.page_id, p.file_sha, case when s.version is null then 'never' when s.version = '2.0' then 'current' else 'stale' end as state from case_pages p left join s using (page_id)),"
+    " f as (select file_sha, bool_or(state <> 'current') as hit from u where file_sha is not null group by file_sha), c as (select distinct case_id from case_pages where case_id is not null)"
+    " select 'read' as stage, cast(page_id as varchar) as unit, state from u union all select 'ingest', file_sha, 'current' from f"
+    f" union all select x.stage, file_sha, case when hit then 'stale' else 'current' end from f cross join (select unnest([{', '.join(repr(n) for n in _FILE_STAGES if n != 'ingest')}]) as stage) x"
+    f" union all select x.stage, case_id, case when (select bool_or(hit) from f) then 'stale' else 'current' end from c cross join (select unnest([{', '.join(repr(n) for n in _CASE_STAGES)}]) as stage) x"
 )
 def stale_units(spark: SparkSession, folder: str) -> DataFrame:
-    """State of every page in two stages; what the reading made stale, classification inherits."""
-    two = pipeline.Registry([pipeline.Stage("read", "page", version=2), pipeline.Stage("classify", "page", ("read",))])
-    pages = table(spark, folder, "case_pages", "page_id").distinct()
-    units = pages.withColumn("stage", F.explode(F.array(F.lit("read"), F.lit("classify")))).withColumnRenamed("page_id", "unit")
+    """State of every page, file and case in all stages, from the versions that read the pages.
+
+    Pages never read or read by an old engine make the stages of their file stale, and those
+    of all cases.
+    """
+    pages = table(spark, folder, "case_pages", "page_id", "file_sha", "case_id").select(F.col("page_id").cast("string").alias("page"), F.col("file_sha").alias("file"), F.col("case_id").alias("case"))
+    stages = {k: F.explode(F.array(*[F.lit(n) for n, s in PIPELINE.stages.items() if s.scope == k])).alias("stage") for k in ("page", "file", "case")}
+    parts = [pages.select(F.col(k).alias("unit")).where("unit is not null").distinct().select(stage, "unit") for k, stage in stages.items()]
+    units = parts[0].unionByName(parts[1]).unionByName(parts[2])
     r = table(spark, folder, "readings", "page_id", "engine_version", "created_at")
-    fresh = F.when(F.col("engine_version") == "2.0", two.stages["read"].signature).otherwise("1:old")
-    seals = r.select(F.lit("read").alias("stage"), F.col("page_id").alias("unit"), fresh.alias("signature"), F.lit("done").alias("state"), F.col("created_at").alias("sealed_at"))
-    sealed = seals.unionByName(seals.withColumn("stage", F.lit("classify")).withColumn("signature", F.lit(two.stages["classify"].signature)))
-    return pipeline.unit_states(units, sealed, two)
+    fresh = F.when(F.col("engine_version") == "2.0", PIPELINE.stages["read"].signature).otherwise("1:old")
+    read = r.select(F.lit("read").alias("stage"), F.col("page_id").cast("string").alias("unit"), fresh.alias("signature"), F.lit("done").alias("state"), F.col("created_at").alias("sealed_at"))
+    signatures = spark.createDataFrame([(s.name, s.signature) for s in PIPELINE.stages.values()], "stage string, signature string")
+    rest = units.where("stage <> 'read'").join(F.broadcast(signatures), "stage").select("stage", "unit", "signature", F.lit("done").alias("state"), F.lit(None).cast("timestamp").alias("sealed_at"))
+    holders = pages.where("file is not null").select(F.col("page").alias("unit"), F.col("file").alias("holder")).distinct()
+    return pipeline.unit_states(units, read.unionByName(rest), PIPELINE, holders, {"page": "file"})
 
 
 @CATALOGUE.add(
-    "with l as (select doc_id, labeller, min(subject_id) as s from subject_labels group by all), t as (select doc_id, s as t from l where labeller = 'rev-a'), p as (select doc_id, s as p from l where labeller = 'rev-b')"
-    " select 'subject' as field, case when p.doc_id is null then 'not_found' when p = t then 'hit' else 'silent_error' end as outcome, count(*) as n from t left join p using (doc_id) group by all"
+    "with l as (select doc_id, labeller, string_agg(distinct cast(subject_id as varchar), ',' order by cast(subject_id as varchar)) as s from subject_labels group by all), t as (select doc_id, s as t from l where labeller = 'rev-a'), p as (select doc_id, s as p from l where labeller = 'rev-b')"
+    " select 'subjects' as field, case when p.p is null then 'not_found' when t.t is null then 'correct_null' when p.p = t.t then 'hit' else 'silent_error' end as outcome, count(*) as n from t left join p using (doc_id) group by all"
 )
 def reviewer_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    """How one reviewer's first subject compares with another's."""
-    first = table(spark, folder, "subject_labels", "doc_id", "subject_id", "labeller").groupBy("doc_id", "labeller").agg(F.min("subject_id").alias("s")).withColumn("field", F.lit("subject"))
-    side = lambda who: first.where(F.col("labeller") == who).drop("labeller")
+    """How one reviewer's set of subjects compares with another's: equal sets hit."""
+    subjects = F.array_join(F.array_sort(F.collect_set(F.col("subject_id").cast("string"))), ",")
+    sets = table(spark, folder, "subject_labels", "doc_id", "subject_id", "labeller").groupBy("doc_id", "labeller").agg(F.nullif(subjects, F.lit("")).alias("s")).withColumn("field", F.lit("subjects"))
+    side = lambda who: sets.where(F.col("labeller") == who).drop("labeller")
     return statistics.confusion(side("rev-b"), side("rev-a"), ["doc_id", "field"], "s", F.lit(False))
 
 
