@@ -81,12 +81,21 @@ NUMBER_WORDS = {
     "diecisiete": 17, "dieciocho": 18, "diecinueve": 19, "veinte": 20, "veintiuno": 21, "veintidos": 22,
     "veintitres": 23, "veinticuatro": 24, "veinticinco": 25, "treinta": 30, "cuarenta": 40, "cincuenta": 50,
     "sesenta": 60, "setenta": 70, "ochenta": 80, "noventa": 90, "cien": 100, "ciento": 100, "doscientos": 200,
-    "trescientos": 300, "quinientos": 500, "mil": 1000, "medio": "0.5", "media": "0.5",
+    "trescientos": 300, "cuatrocientos": 400, "quinientos": 500, "seiscientos": 600, "setecientos": 700,
+    "ochocientos": 800, "novecientos": 900, "mil": 1000, "medio": "0.5", "media": "0.5",
 }
 
 _DIGITS = r"(?:\d{1,3}(?:[. ]\d{3})+(?!\d)|\d+)(?:,\d+)?(?:\s*(?:\d+/\d+|[½¼¾]))?"
-_WORDS = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
-_NUMBER = rf"(?:{_DIGITS}|\d+/\d+|[½¼¾]|(?:{_WORDS})(?: y (?:{_WORDS}))?(?![a-z]))"
+
+
+def _words(low: int, high: int) -> str:
+    return "|".join(sorted((w for w, n in NUMBER_WORDS.items() if low <= float(n) < high), key=len, reverse=True))
+
+
+# Numbers in words: hundreds, tens and units in this order, `mil` between them, and a half.
+_SMALL = rf"(?:(?:{_words(30, 100)})(?: y (?:{_words(1, 10)}))?|(?:{_words(0, 30)}))"
+_PART = rf"(?:(?:{_words(100, 1000)})(?: {_SMALL})?|{_SMALL})"
+_NUMBER = rf"(?:{_DIGITS}|\d+/\d+|[½¼¾]|(?:(?:{_PART} )?mil(?: {_PART})?|{_PART})(?: y medi[oa])?(?![a-z]))"
 _CONTAINERS = UNIT_SPELLINGS[("container", "1", 1)].replace(" ", "|")
 _UNIT = r"[a-z][a-z0-9/_ ]*"
 
@@ -126,8 +135,15 @@ def to_number(text: str) -> Decimal | None:
         return share
     if whole[0].isdigit():
         return Decimal(whole.replace(".", "").replace(" ", "").replace(",", ".")) + share
-    values = [NUMBER_WORDS.get(w) for w in whole.split(" y ")]
-    return None if None in values else sum(map(Decimal, map(str, values)), share)
+    total, part = Decimal(0), Decimal(0)
+    for w in whole.split():
+        if w == "mil":
+            total, part = total + (part or 1) * 1000, Decimal(0)
+        elif w in NUMBER_WORDS:
+            part += Decimal(str(NUMBER_WORDS[w]))
+        elif w != "y":
+            return None
+    return total + part + share
 
 
 def _stem(word: str) -> str:
@@ -173,15 +189,19 @@ def read_line(unit: str | None, quantity: str | None, description: str | None) -
     return None if inner is None else (amount * inner, said.strip())
 
 
+#: Amounts from here on have no place in decimal(26,8).
+_BEYOND = 10**18
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """line_id, amount decimal(26,8), spelling and goods of every loaded row that can be parsed."""
+    """line_id, amount decimal(26,8), spelling and goods of every loaded row that can be parsed; amounts from 10^18 can't be held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             got = [
                 (i, *r, d)
                 for i, u, q, d in zip(b["line_id"], b["unit_literal"], b["quantity_literal"], b["description"], strict=True)
-                if (r := read_line(u, q, d)) and r[0] < 10**14
+                if (r := read_line(u, q, d)) and r[0] < _BEYOND
             ]
             ids, amounts, spellings, goods = zip(*got, strict=True) if got else ((), (), (), ())
             yield pd.DataFrame(
@@ -254,7 +274,7 @@ def alias_dictionary(spellings: DataFrame, known: DataFrame, max_cost: float = 0
     return best.select("spelling", "b.unit", "b.num", "b.den")
 
 
-def _words(col: str) -> Column:
+def _goods_words(col: str) -> Column:
     """Distinct words of at least three letters."""
     return F.array_distinct(F.filter(F.split(fold(col), "[^a-z]+"), lambda w: F.length(w) >= 3))
 
@@ -267,7 +287,7 @@ def goods_measure(resolved: DataFrame, unclear: DataFrame) -> DataFrame:
     """
     votes = (
         resolved.where("unit in ('litro', 'metro')")
-        .select("unit", F.explode(_words("goods")).alias("word"))
+        .select("unit", F.explode(_goods_words("goods")).alias("word"))
         .groupBy("word")
         .agg(
             F.count(F.when(F.col("unit") == "litro", 1)).alias("volume"),
@@ -276,7 +296,7 @@ def goods_measure(resolved: DataFrame, unclear: DataFrame) -> DataFrame:
         .select("word", F.log((F.col("volume") + 0.5) / (F.col("length") + 0.5)).alias("odds"))
     )
     return (
-        unclear.select("line_id", F.explode(_words("goods")).alias("word"))
+        unclear.select("line_id", F.explode(_goods_words("goods")).alias("word"))
         .join(votes, "word")
         .groupBy("line_id")
         .agg(F.sum("odds").alias("odds"))
@@ -288,7 +308,8 @@ def goods_measure(resolved: DataFrame, unclear: DataFrame) -> DataFrame:
 def common_quantities(lines: DataFrame) -> DataFrame:
     """line_id, common_unit, quantity_milli for every line whose quantity and unit can be told.
 
-    `lines` needs line_id, unit_literal, quantity_literal and description.
+    `lines` needs line_id, unit_literal, quantity_literal and description. A quantity whose
+    thousandths are beyond a bigint has no row, as the result couldn't hold it.
     """
     spark = lines.sparkSession
     parsed = cut_lineage(parse_lines(lines))
@@ -304,9 +325,9 @@ def common_quantities(lines: DataFrame) -> DataFrame:
     )
     told = clear.select("line_id", "amount", "unit", "num", "den").unionByName(settled)
     thousandths = F.col("amount") * (F.col("num") * 1000).cast("decimal(14,6)")
-    milli = F.try_divide(thousandths.cast("decimal(34,9)"), F.col("den").cast("decimal(3,0)"))
+    milli = F.try_divide(thousandths.try_cast("decimal(34,9)"), F.col("den").cast("decimal(3,0)"))
     return (
-        told.select("line_id", F.col("unit").alias("common_unit"), F.round(milli, 0).cast("decimal(20,0)").try_cast("bigint").alias("quantity_milli"))
+        told.select("line_id", F.col("unit").alias("common_unit"), F.round(milli, 0).try_cast("decimal(20,0)").try_cast("bigint").alias("quantity_milli"))
         .where("quantity_milli is not null")
         .distinct()
     )

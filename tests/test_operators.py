@@ -113,7 +113,9 @@ def test_chain_heads_survive_cycles(spark, rows):
     links = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (9, 8)], "n bigint, up bigint")
     assert rows(ordered.follow_chain(links, "n", "up")) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
     cycle = spark.createDataFrame([(1, 2), (2, 1)], "n bigint, up bigint")
-    assert ordered.follow_chain(cycle, "n", "up", most_doublings=4).count() == 2
+    assert ordered.follow_chain(cycle, "n", "up").count() == 2
+    three = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 6), (6, 5)], "n bigint, up bigint")
+    assert {n: h if n > 4 else h in (1, 2, 3) for n, h in rows(ordered.follow_chain(three, "n", "up"))} == {1: True, 2: True, 3: True, 5: 5, 6: 5, 7: 5}
 
 
 def test_components_against_union_find(spark):

@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import graph, ordered, pipeline, statistics
+from folioscope.operators import graph, pipeline, statistics
 from folioscope.plans.changes import PIPELINE
 
 
@@ -77,8 +77,6 @@ def test_unfinished_groups_raise(spark, rows):
     assert {c for _, c in rows(graph.components(path, "a", "b"))} == {0}
     with pytest.raises(RuntimeError):
         graph.components(path, "a", "b", most_rounds=1)
-    with pytest.raises(ValueError):
-        ordered.follow_chain(spark.createDataFrame([(1, 2), (2, 1)], "n int, t int"), "n", "t", most_doublings=3)
 
 
 def test_conflicts_are_rescuable_if_a_reading_is_right(spark, rows):

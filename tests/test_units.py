@@ -70,3 +70,28 @@ def test_alias_dictionary_rejects_the_unlike(spark, rows):
     said = spark.createDataFrame([("kilogrmos",), ("litors",), ("zapallo",), ("kx",), (None,), ("",)], "spelling string")
     got = {r[0]: r[1] for r in rows(units.alias_dictionary(said, units.spell_frame(spark)))}
     assert got == {"kilogrmos": "kilogramo", "litors": "litro"}
+
+
+@pytest.mark.parametrize(
+    ("text", "number"),
+    [
+        ("doscientos cincuenta", 250), ("ciento veinte", 120), ("dos mil", 2000), ("mil", 1000), ("tres mil cuatrocientos treinta y dos", 3432),
+        ("novecientos noventa y nueve mil novecientos noventa y nueve", 999_999), ("dos y medio", "2.5"), ("treinta y cinco", 35), ("media", "0.5"), ("dos perros", None),
+    ],
+)
+def test_numbers_in_words(text, number):
+    assert units.to_number(text) == (None if number is None else Decimal(str(number)))
+
+
+def test_quantities_in_words():
+    assert units.read_line("kg", "doscientos cincuenta", "harina") == (Decimal(250), "kg")
+    assert units.read_line(None, "ciento veinte kg", "harina") == (Decimal(120), "kg")
+    assert units.read_line("m", "dos mil", "cable") == (Decimal(2000), "m")
+
+
+def test_very_large_quantities(spark):
+    rows = [(1, "g", "400000000000000000", "sal"), (2, "kg", "999999999999999", "sal"), (3, "kg", "99999999999999999999", "sal"), (4, "tn", "900000000000000000", "sal")]
+    df = spark.createDataFrame(rows, "line_id bigint, unit_literal string, quantity_literal string, description string")
+    got = {r.line_id: r.quantity_milli for r in units.common_quantities(df).collect()}
+    # 4 x 10^17 grams and 10^15 kilograms fit; the others have no thousandths in a bigint.
+    assert got == {1: 400_000_000_000_000_000, 2: 999_999_999_999_999_000}
