@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioscope.functions.numbers import PERSON_PREFIXES, check_digit_holds, digits
 from folioscope.functions.text import fold, unaccent
 
 # What introduces an identifier of each class (patterns without look-around).
@@ -20,6 +21,18 @@ IDENTIFIERS = {
 }
 
 
+# Words that don't tell one product from another.
+STOP_WORDS = "de del la las el los y e o u con sin para por a al en x".split()
+# The form of a folio note: label, number, repetition, side.
+FOLIO = r"^(?:f{1,2}s?\.?|folios?|fojas?)?\s*([0-9]{1,4})\s*(bis|ter|quater)?\s*\.?\s*(vta\.?|vto\.?|v\.?|r\.?)?$"
+# Forms of entities in text with the confidence of each class, and legal forms of firms.
+TAX_ID = r"\b([0-9]{2}[-\s.]?[0-9]{8}[-\s.]?[0-9])\b"
+CASE_NUMBER = r"(?i)\b(?:expte\.?|expediente)\s*(?:n[°ºo]?\.?\s*)?([0-9.\-/]{3,20})"
+VOUCHER = r"(?i)\b(?:factura|remito|recibo|orden\s+de\s+(?:compra|pago))\s*(?:n[°ºo]\.?\s*)?([0-9A-Z]{1,4}[-\s]?[0-9]{4,12})"
+FIRM = r"\b([A-ZÁÉÍÓÚÑ][0-9A-Za-z_ÁÉÍÓÚÑáéíóúñ&.\s]{2,60}?\s+(?:S\.?\s?A\.?|S\.?R\.?L\.?|S\.?A\.?S\.?|S\.?\s?H\.?|U\.?T\.?E\.?))\b"
+CONFIDENCES = {"tax_id": 0.9, "case_number": 0.75, "voucher": 0.7, "firm": 0.6}
+
+
 def compare_key(text: Column) -> Column:
     """Without accents, upper case, everything else than letters and digits as single blanks."""
     return F.trim(F.regexp_replace(F.upper(unaccent(text)), "[^A-Z0-9]+", " "))
@@ -31,10 +44,10 @@ def entity_key(text: Column) -> Column:
 
 
 def description_tokens(text: Column) -> Column:
-    """Words of a description: decimal comma as dot, stop words removed."""
+    """Words of a description: decimal comma as dot, stop words and lone dots removed."""
     t = F.regexp_replace(fold(text), "([0-9]),([0-9])", "$1.$2")
     words = F.regexp_extract_all(t, F.lit("[a-z0-9./]+"), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin("de", "del", "la", "el", "en", "con", "para", "por", "y", "a"))
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS, "."))
 
 
 def number_tokens(text: Column) -> Column:
@@ -58,19 +71,37 @@ def identifiers(text: Column, kind: str, folded: bool = False) -> Column:
 
 
 def folio(text: Column) -> Column:
-    """struct<number, suffix, back> of a folio note such as `Foja 12 bis vta.`; null if it is none."""
-    pattern = r"^(?:f[oó]ja|foja|folio|fs\.?|f[oó]lio)\s*(?:n[°º]\s*)?([0-9]{1,4})\s*(bis|ter|quater)?\s*(vta\.?|vuelta)?$"
-    t = F.trim(F.lower(text))
+    """struct<number, suffix, back> of a folio note such as `12 bis vta.`, with or without label; null if it is none."""
+    t = F.translate(F.trim(F.lower(text)), "°º", "")
+    side = F.regexp_extract(t, FOLIO, 3)
     return F.when(
-        t.rlike(pattern),
+        t.rlike(FOLIO),
         F.struct(
-            F.regexp_extract(t, pattern, 1).cast("int").alias("number"),
-            F.nullif(F.regexp_extract(t, pattern, 2), F.lit("")).alias("suffix"),
-            (F.regexp_extract(t, pattern, 3) != "").alias("back"),
+            F.regexp_extract(t, FOLIO, 1).cast("int").alias("number"),
+            F.nullif(F.regexp_extract(t, FOLIO, 2), F.lit("")).alias("suffix"),
+            ((side != "") & ~side.startswith("r")).alias("back"),
         ),
     )
 
 
+def entities(text: Column) -> Column:
+    """array<struct<class, norm, confidence>> of what its form makes sure in a text, each once.
+
+    A tax id counts with its own check digit only; its prefix tells persons from firms.
+    """
+    found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    rows = lambda kind, confidence, norms: F.transform(norms, lambda n: F.struct(kind(n).alias("class"), n.alias("norm"), F.lit(confidence).alias("confidence")))
+    ids = F.filter(F.transform(found(TAX_ID), digits), check_digit_holds)
+    person = lambda n: F.when(F.substring(n, 1, 2).isin(*PERSON_PREFIXES), "person").otherwise("firm")
+    named = F.filter(F.transform(found(FIRM), entity_key), lambda n: F.length(n) >= 5)
+    numbered = lambda p: F.filter(F.transform(found(p), entity_key), lambda n: n != "")
+    every = F.concat(
+        rows(person, CONFIDENCES["tax_id"], ids), rows(lambda n: F.lit("case_number"), CONFIDENCES["case_number"], numbered(CASE_NUMBER)),
+        rows(lambda n: F.lit("voucher"), CONFIDENCES["voucher"], numbered(VOUCHER)), rows(lambda n: F.lit("firm"), CONFIDENCES["firm"], named),
+    )
+    return F.array_distinct(every)
+
+
 def legibility(text: Column) -> Column:
     """`blank`, `unreadable` or `readable` by the share of useful words.
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import fold, py_fold
 
-# Characters that readings mix up, both ways.
-READING_SWAPS = (("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("8", "b"), ("rn", "m"), ("cl", "d"), ("ii", "u"), ("2", "z"), ("6", "g"))
+# Characters that readings mix up, both ways, and the most variants offered.
+READING_SWAPS = (("l", "1"), ("i", "1"), ("o", "0"), ("s", "5"), ("b", "6"), ("g", "9"), ("z", "2"), ("q", "9"), ("rn", "m"), ("ll", "n"))
+MOST_VARIANTS = 6
 
 
 def terms(text: Column) -> Column:
@@ -66,16 +67,29 @@ def rank_bm25(index: DataFrame, query: str, k1: float = 1.2, b: float = 0.75) ->
     return scored.groupBy("page").agg(F.sum(idf * tf).alias("score"), F.count("*").alias("n")).where(F.col("n") == len(words)).drop("n")
 
 
-def reading_variants(word: str, most: int = 6) -> list[str]:
-    """Spellings of a word that a bad reading may have left, at most `most`, without the word itself."""
-    out: list[str] = []
-    for a, b in READING_SWAPS:
-        for x, y in ((a, b), (b, a)):
-            for m in re.finditer(re.escape(x), word):
-                v = word[: m.start()] + y + word[m.end() :]
-                if v not in out and v != word:
-                    out.append(v)
-    return out[:most]
+def variants_of(text: Column) -> Column:
+    """array of the spellings that a bad reading may have left of a text of three letters or more, in the order of the swaps."""
+    base = fold(text)
+    swapped = F.array(*[F.replace(base, F.lit(x), F.lit(y)) for a, b in READING_SWAPS for x, y in ((a, b), (b, a))])
+    return F.slice(F.array_distinct(F.filter(swapped, lambda v: (F.length(base) >= 3) & (v != base))), 1, MOST_VARIANTS)
+
+
+def rank_pages(pages: DataFrame, page: str, text: str, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """page, score (BM25) of the pages that hold every word of the query, without an index.
+
+    One pass counts the query's words in each text where it stands; nothing else is exploded
+    or shuffled. For many queries over the same texts, keep `inverted_index` as a table.
+    """
+    words = sorted(set(compile_query(query)[1]))
+    tokens = pages.where(F.col(text).isNotNull()).select(F.col(page).alias("page"), terms(F.col(text)).alias("t"))
+    counted = tokens.select("page", F.size("t").alias("length"), *[F.size(F.filter("t", _word_test(w))).alias(f"tf{i}") for i, w in enumerate(words)]).where("length > 0")
+    whole = counted.agg(F.count("*").alias("pages"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))])
+    score, every = F.lit(0.0), F.lit(len(words) > 0)
+    for i in range(len(words)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        score = score + F.log(1 + (F.col("pages") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+        every = every & (tf > 0)
+    return counted.where(every).crossJoin(F.broadcast(whole)).select("page", score.alias("score"))  # one row
 
 
 def search_coverage(pages: DataFrame, readings: DataFrame, page: str = "page_id", text: str = "page_text") -> DataFrame:

@@ -10,30 +10,31 @@ from pyspark.sql import functions as F
 def exact_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, lowest, highest, mean, median, sd (n - 1) and iqr of a decimal column, per key.
 
-    Quantiles interpolate linearly at (n - 1) p. They come from ranks, not from collected
-    lists, so that a key of any size streams through one sort. Shown at two decimals, half up.
+    Quantiles interpolate linearly at (n - 1) p. Rows are counted per key and value first,
+    map-side, and ranks come from the running counts of the distinct values: the rows of a hot
+    key are never sorted in one task. Shown at two decimals, half up.
     """
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("decimal(18,4)").alias("v"))
+    plain = known.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
+        (F.sum("v").cast("decimal(28,4)") / F.count("*").cast("decimal(10,0)")).alias("mean"), F.stddev_samp(F.col("v").cast("double")).alias("sd"),
+    )
     w = W.partitionBy(*keys)
-    ranked = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("decimal(18,4)").alias("v")).withColumn(
-        "r", F.row_number().over(w.orderBy("v")) - 1
-    ).withColumn("n", F.count("*").over(w))
+    counted = known.groupBy(*keys, "v").agg(F.count("*").alias("c")).withColumn("above", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
 
     def quantile(quarters: int) -> Column:
         # Position (n - 1) * q / 4 as whole part and remainder in quarters.
         place = (F.col("n") - 1) * quarters
         low, rest = F.floor(place / 4), F.pmod(place, F.lit(4))
-        weight = F.when(F.col("r") == low, 4 - rest).when((F.col("r") == low + 1) & (rest > 0), rest)
+        holds = lambda rank: (rank < F.col("above")) & (rank >= F.col("above") - F.col("c"))
+        weight = F.when(holds(low), 4 - rest).otherwise(0) + F.when(holds(low + 1), rest).otherwise(0)
         return F.sum(F.col("v") * weight.cast("decimal(3,0)")) / F.lit(4).cast("decimal(1,0)")
 
-    total = F.sum("v")
-    grouped = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"),
-        (total.cast("decimal(28,4)") / F.count("*").cast("decimal(10,0)")).alias("mean"),
-        quantile(2).alias("median"), quantile(1).alias("q1"), quantile(3).alias("q3"),
-        F.stddev_samp(F.col("v").cast("double")).alias("sd"),
-    )
+    quantiles = counted.groupBy(*keys).agg(quantile(2).alias("median"), quantile(1).alias("q1"), quantile(3).alias("q3"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    both = plain.alias("a").join(quantiles.alias("b"), same).select("a.*", "b.median", "b.q1", "b.q3")
     money = lambda c: F.round(c.cast("decimal(28,6)"), 2).cast("double")
-    return grouped.select(
+    return both.select(
         *keys, "n", F.col("lowest").cast("double").alias("lowest"), F.col("highest").cast("double").alias("highest"),
         money(F.col("mean")).alias("mean"), money(F.col("median")).alias("median"), F.round("sd", 2).alias("sd"), money(F.col("q3") - F.col("q1")).alias("iqr"),
     )

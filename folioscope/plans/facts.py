@@ -78,23 +78,29 @@ def page_families(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "case_pages", "page_id", "page_class").select("page_id", views.family(F.col("page_class")).alias("family"))
 
 
-@CATALOGUE.add(
-    f"with {_CONTRACTS} select piece_id, case when ends < starts then 'ends before it starts' when year(starts) < 1983 then 'starts before 1983'"
-    " when year(ends) > 2027 then 'ends after 2027' when date_diff('day', starts, ends) > 3650 then 'longer than ten years' end as reason"
-    " from contracts where reason is not null"
+IMPOSSIBLE = (
+    "select piece_id, case when ends < starts then 'ends before it starts' when year(starts) < 1983 then 'starts before 1983'"
+    " when year(ends) > 2027 then 'ends after 2027' when date_diff('day', starts, ends) > 3650 then 'longer than ten years' end as reason from contracts where reason is not null"
 )
-def impossible_dates(spark: SparkSession, folder: str) -> DataFrame:
-    """Contracts whose dates can't be, with the first reason; the year of reading is a parameter."""
-    c = _contracts(spark, folder)
+
+
+def impossible(c: DataFrame, year: int = 2025) -> DataFrame:
+    """piece_id and the first reason why its dates can't be; `year` is the year of reading."""
     reason = (
         F.when(F.col("ends") < F.col("starts"), "ends before it starts")
         .when(F.year("starts") < 1983, "starts before 1983")
-        .when(F.year("ends") > 2025 + 2, "ends after 2027")
+        .when(F.year("ends") > year + 2, f"ends after {year + 2}")
         .when(F.datediff("ends", "starts") > 3650, "longer than ten years")
     )
     return c.select("piece_id", reason.alias("reason")).where("reason is not null")
 
 
+@CATALOGUE.add(f"with {_CONTRACTS} {IMPOSSIBLE}")
+def impossible_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Contracts whose dates can't be, with the first reason; the year of reading is a parameter."""
+    return impossible(_contracts(spark, folder))
+
+
 @CATALOGUE.add(
     f"with {_CONTRACTS} select piece_id, trim((case when starts is null then 'sin inicio; ' else '' end) || (case when ends is null then 'sin fin; ' else '' end)"
     " || (case when strong_key is null then 'sin persona; ' else '' end) || (case when cents is null then 'sin monto; ' else '' end)) as reasons"
@@ -108,16 +114,26 @@ def excluded_from_cross(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("piece_id", text.alias("reasons")).where("reasons <> ''")
 
 
-@CATALOGUE.add(
-    f"with {_CONTRACTS} select a.case_id, a.person, a.piece_id as piece_a, b.piece_id as piece_b, date_diff('day', greatest(a.starts, b.starts), least(a.ends, b.ends)) + 1 as days,"
-    " coalesce(a.cents, 0) + coalesce(b.cents, 0) as cents from contracts a join contracts b on a.case_id = b.case_id and a.person = b.person and a.piece_id < b.piece_id"
+OVERLAPS = (
+    "select a.case_id, a.person, a.piece_id as piece_a, b.piece_id as piece_b, date_diff('day', greatest(a.starts, b.starts), least(a.ends, b.ends)) + 1 as days,"
+    " coalesce(a.cents, 0) + coalesce(b.cents, 0) as cents{} from contracts a join contracts b on a.case_id = b.case_id and a.person = b.person and a.piece_id < b.piece_id"
     " and a.starts <= b.ends and b.starts <= a.ends where a.starts <= a.ends and b.starts <= b.ends"
 )
+
+
+def overlapping(c: DataFrame, *carry: str) -> DataFrame:
+    """Pairs of contracts of one person whose periods share days, with the columns to carry along as `_a` and `_b`."""
+    pairs = intervals.interval_self_join(c, ["case_id", "person"], "piece_id", "starts", "ends", ("cents", *carry))
+    total = F.coalesce("cents_a", F.lit(0)) + F.coalesce("cents_b", F.lit(0))
+    return pairs.select(
+        "case_id", "person", F.col("piece_id_a").alias("piece_a"), F.col("piece_id_b").alias("piece_b"), "days", total.alias("cents"), *[f"{k}_{s}" for k in carry for s in "ab"]
+    )
+
+
+@CATALOGUE.add(f"with {_CONTRACTS} {OVERLAPS.format('')}")
 def contract_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Contracts of one person whose periods share days."""
-    pairs = intervals.interval_self_join(_contracts(spark, folder), ["case_id", "person"], "piece_id", "starts", "ends", ("cents",))
-    total = F.coalesce("cents_a", F.lit(0)) + F.coalesce("cents_b", F.lit(0))
-    return pairs.select("case_id", "person", F.col("piece_id_a").alias("piece_a"), F.col("piece_id_b").alias("piece_b"), "days", total.alias("cents"))
+    return overlapping(_contracts(spark, folder))
 
 
 @CATALOGUE.add(CATALOGUE.oracles["contract_overlap"] + " order by days desc, piece_a, piece_b limit 3")
@@ -210,19 +226,26 @@ def review_facets(spark: SparkSession, folder: str) -> DataFrame:
     return f.select(facets.alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
-@CATALOGUE.add(
-    f"with {_CONTRACTS} select case_id, strong_key, starts, ends, cents, count(*) as n, count(distinct file_sha) as files, string_agg(piece_id, ',' order by piece_id) as pieces"
+REPEATED = (
+    "select case_id, strong_key, starts, ends, cents, count(*) as n, count(distinct file_sha) as files, string_agg(piece_id, ',' order by piece_id) as pieces"
     " from contracts where strong_key is not null group by case_id, strong_key, starts, ends, cents having count(*) > 1"
 )
-def repeated_contracts(spark: SparkSession, folder: str) -> DataFrame:
+
+
+def repeated(c: DataFrame) -> DataFrame:
     """Contracts of equal person, dates and amount (unknown amounts are equal)."""
-    c = _contracts(spark, folder).where("strong_key is not null")
     pieces = F.array_join(F.transform(F.array_sort(F.collect_list("piece_id")), lambda x: x.cast("string")), ",")
-    return c.groupBy("case_id", "strong_key", "starts", "ends", "cents").agg(
+    return c.where("strong_key is not null").groupBy("case_id", "strong_key", "starts", "ends", "cents").agg(
         F.count("*").alias("n"), F.countDistinct("file_sha").alias("files"), pieces.alias("pieces")
     ).where("n > 1")
 
 
+@CATALOGUE.add(f"with {_CONTRACTS} {REPEATED}")
+def repeated_contracts(spark: SparkSession, folder: str) -> DataFrame:
+    """Contracts of equal person, dates and amount (unknown amounts are equal)."""
+    return repeated(_contracts(spark, folder))
+
+
 _LINES = (
     "lines as (select line_id, arg_max(case_id, loaded_at) as case_id, arg_max(struct_pack(a := supplier_tax_id), loaded_at).a as tax, arg_max(struct_pack(a := subtotal), loaded_at).a as subtotal,"
     " arg_max(struct_pack(a := stage), loaded_at).a as stage, arg_max(struct_pack(a := currency), loaded_at).a as currency, arg_max(struct_pack(a := state), loaded_at).a as state from price_lines group by line_id)"
@@ -245,23 +268,46 @@ def invoiced_vs_contracted(spark: SparkSession, folder: str) -> DataFrame:
     return c.join(v, ["case_id", "strong_key"], "left").na.fill(0, ["vouchers"])
 
 
+_LINE_CENTS = "cast(subtotal * 100 as bigint)"
+
+
 @CATALOGUE.add(
-    f"with {_CONTRACTS}, {_LINES}, firm_c as (select count(*) as contracts, count(cents) as with_amount, sum(cents)::bigint as contracted from contracts),"
-    f" inv as (select count(*) as invoice_lines, sum(cast(subtotal * 100 as bigint)) filter (where state in {_FIRM})::bigint as invoiced_firm,"
-    f" sum(cast(subtotal * 100 as bigint)) filter (where coalesce(state not in {_FIRM}, true))::bigint as invoiced_provisional from lines where stage = 'factura'),"
-    " prov as (select count(*) as provisional_amounts from once where field_name = 'monto' and state not in " + _FIRM + " and literal is not null)"
-    " select * from firm_c cross join inv cross join prov"
+    f"with {_CONTRACTS}, {_LINES}, c as (select coalesce(sum(cents), 0)::bigint as contracted_firm, count(cents) as contracts_with_firm_amount, count(*) - count(cents) as contracts_without_firm_amount from contracts),"
+    f" m as (select coalesce(sum({_CENTS.format('trim(literal)')}) filter (where field_name = 'monto' and state = 'pendiente_baja'), 0)::bigint as contracted_provisional,"
+    " count(*) filter (where field_name = 'monto' and state = 'pendiente_baja') as contracts_with_provisional_amount, count(*) filter (where field_name = 'monto' and state in ('conflicto', 'no_revisado')) as amounts_pending,"
+    f" count(*) filter (where state in {_HUMAN}) as human_fields, count(*) filter (where state in ('pendiente_baja', 'conflicto', 'no_revisado')) as pending_fields from once),"
+    f" v as (select coalesce(sum({_LINE_CENTS}) filter (where state in {_FIRM}), 0)::bigint as invoiced_firm, count(subtotal) filter (where state in {_FIRM}) as invoice_lines_with_firm_amount,"
+    f" coalesce(sum({_LINE_CENTS}) filter (where coalesce(state not in {_FIRM}, true)), 0)::bigint as invoiced_provisional, count(*) filter (where subtotal is null) as invoice_lines_without_amount, count(*) as invoice_lines"
+    " from lines where stage = 'factura'),"
+    " p as (select count(*) as pages_without_family from case_pages where coalesce(page_class not in ('contrato_obra','contrato_personal','contrato_locacion','factura','recibo','remito','decreto','resolucion','rendicion'), true)),"
+    " f as (select max(ingested_at) as last_load from case_files)"
+    " select * from c cross join m cross join v cross join p cross join f"
 )
 def separated_totals(spark: SparkSession, folder: str) -> DataFrame:
-    """Firm and provisional totals of contracts and invoices, never added together."""
-    c = _contracts(spark, folder).agg(F.count("*").alias("contracts"), F.count("cents").alias("with_amount"), F.sum("cents").alias("contracted"))
-    lines = views.latest_lines(table(spark, folder, "price_lines", "line_id", "loaded_at", "subtotal", "stage", "state")).where("stage = 'factura'")
-    cents, firm = (F.col("subtotal") * 100).cast("bigint"), views.is_firm(F.col("state"))
-    inv = lines.agg(F.count("*").alias("invoice_lines"), F.sum(F.when(firm, cents)).alias("invoiced_firm"), F.sum(F.when(~firm, cents)).alias("invoiced_provisional"))
-    prov = views.distinct_facts(_fields(spark, folder)).where("field_name = 'monto' and literal is not null").agg(
-        F.count(F.when(~views.is_firm(F.col("state")), 1)).alias("provisional_amounts")
+    """What was contracted and what was invoiced, firm and provisional, never added together, with all that has no amount.
+
+    Each table is read once; the rows that are put side by side are single ones.
+    """
+    n = lambda c: F.count_if(c)
+    c = _contracts(spark, folder).agg(
+        F.coalesce(F.sum("cents"), F.lit(0)).alias("contracted_firm"), F.count("cents").alias("contracts_with_firm_amount"), (F.count("*") - F.count("cents")).alias("contracts_without_firm_amount")
     )
-    return c.crossJoin(inv).crossJoin(prov)  # one row each
+    amount, state = F.col("field_name") == "monto", F.col("state")
+    low = amount & (state == "pendiente_baja")
+    m = views.distinct_facts(_fields(spark, folder)).agg(
+        F.coalesce(F.sum(F.when(low, amount_cents(F.col("literal")))), F.lit(0)).alias("contracted_provisional"), n(low).alias("contracts_with_provisional_amount"),
+        n(amount & state.isin("conflicto", "no_revisado")).alias("amounts_pending"), n(state.isin(*HUMAN_STATES)).alias("human_fields"),
+        n(state.isin("pendiente_baja", "conflicto", "no_revisado")).alias("pending_fields"),
+    )
+    lines = views.latest_lines(table(spark, folder, "price_lines", "line_id", "loaded_at", "subtotal", "stage", "state")).where("stage = 'factura'")
+    cents, firm = (F.col("subtotal") * 100).cast("bigint"), views.is_firm(state)
+    v = lines.agg(
+        F.coalesce(F.sum(F.when(firm, cents)), F.lit(0)).alias("invoiced_firm"), n(firm & F.col("subtotal").isNotNull()).alias("invoice_lines_with_firm_amount"),
+        F.coalesce(F.sum(F.when(~firm, cents)), F.lit(0)).alias("invoiced_provisional"), n(F.col("subtotal").isNull()).alias("invoice_lines_without_amount"), F.count("*").alias("invoice_lines"),
+    )
+    p = table(spark, folder, "case_pages", "page_class").agg(n(views.family(F.col("page_class")).isNull()).alias("pages_without_family"))
+    f = table(spark, folder, "case_files", "ingested_at").agg(F.max("ingested_at").alias("last_load"))
+    return c.crossJoin(m).crossJoin(v).crossJoin(p).crossJoin(f)  # one row each
 
 
 @CATALOGUE.add(
@@ -282,15 +328,24 @@ def grouped_starts(spark: SparkSession, folder: str) -> DataFrame:
     return c.groupBy("case_id", "starts").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@CATALOGUE.add(
-    f"with {_CONTRACTS} select case_id, strong_key, starts, ends, count(*) as n, case when count(cents) < count(*) then 'unsure' when count(distinct cents) = 1 then 'same paper' else 'different' end as verdict"
+SAME_PAPER = (
+    "select case_id, strong_key, starts, ends, count(*) as n, case when count(cents) < count(*) then 'unsure' when count(distinct cents) = 1 then 'same paper' else 'different' end as verdict"
     " from contracts where strong_key is not null and starts is not null and ends is not null group by all having count(*) > 1"
 )
-def same_paper_groups(spark: SparkSession, folder: str) -> DataFrame:
+
+
+def same_paper(c: DataFrame) -> DataFrame:
     """Contracts of equal person and period: the same paper only if the amounts agree."""
-    c = _contracts(spark, folder).where("strong_key is not null and starts is not null and ends is not null")
     verdict = F.when(F.count("cents") < F.count(F.lit(1)), "unsure").when(F.countDistinct("cents") == 1, "same paper").otherwise("different")
-    return c.groupBy("case_id", "strong_key", "starts", "ends").agg(F.count(F.lit(1)).alias("n"), verdict.alias("verdict")).where("n > 1")
+    return c.where("strong_key is not null and starts is not null and ends is not null").groupBy("case_id", "strong_key", "starts", "ends").agg(
+        F.count(F.lit(1)).alias("n"), verdict.alias("verdict")
+    ).where("n > 1")
+
+
+@CATALOGUE.add(f"with {_CONTRACTS} {SAME_PAPER}")
+def same_paper_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Contracts of equal person and period: the same paper only if the amounts agree."""
+    return same_paper(_contracts(spark, folder))
 
 
 @CATALOGUE.add(

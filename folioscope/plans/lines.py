@@ -10,7 +10,7 @@ from folioscope.functions.identifiers import description_tokens, entity_key, lab
 from folioscope.functions.numbers import canonical_money, local_decimal
 from folioscope.operators import relational, statistics, views
 from folioscope.operators.decisions import stable_key
-from folioscope.operators.intervals import latest_before, within_days
+from folioscope.operators.intervals import within_days
 from folioscope.operators.ordered import chain
 from folioscope.plans.registry import Catalogue
 from folioscope.schema import STAGES
@@ -108,17 +108,27 @@ def missing_stages(spark: SparkSession, folder: str) -> DataFrame:
     return gaps.groupBy(F.col("key.case_id").alias("case_id"), "stage").agg(F.count("*").alias("procedures"))
 
 
+_ONLY_PRICE = (
+    "(select case_id, procurement_id, item_id, case when count(distinct unit_price) = 1 then min(unit_price) end as reference, count(distinct unit_price) as n from lines"
+    " where stage = '{}' and item_id is not null and procurement_id is not null group by all)"
+)
+
+
 @CATALOGUE.add(
-    f"with {_LATEST}, o as (select case_id, procurement_id, item_id, min(unit_price) as reference, count(distinct unit_price) as n from lines where stage = 'orden_compra' and item_id is not null"
-    " and procurement_id is not null group by all having count(distinct unit_price) = 1)"
-    " select l.line_id, l.case_id, o.reference::double as ordered_price, l.unit_price::double as invoiced_price from lines l left join o using (case_id, procurement_id, item_id) where l.stage = 'factura' and l.item_id is not null"
+    f"with {_LATEST}, o as {_ONLY_PRICE.format('orden_compra')}, a as {_ONLY_PRICE.format('adjudicacion')}"
+    " select l.line_id, l.case_id, (case when o.n > 0 then o.reference else a.reference end)::double as ordered_price, l.unit_price::double as invoiced_price from lines l"
+    " left join o using (case_id, procurement_id, item_id) left join a using (case_id, procurement_id, item_id) where l.stage = 'factura' and l.item_id is not null"
 )
 def invoice_against_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Invoiced lines with the only order price of their item and procedure; ambiguous stays null."""
-    p = _lines(spark, folder, "case_id", "procurement_id", "item_id", "stage", "unit_price").where("item_id is not null")
-    orders = p.where("stage = 'orden_compra' and procurement_id is not null").withColumnRenamed("unit_price", "ordered_price")
-    joined = relational.join_only_match(p.where("stage = 'factura'"), orders, ["case_id", "procurement_id", "item_id"], "ordered_price")
-    return joined.select("line_id", "case_id", F.col("ordered_price").cast("double").alias("ordered_price"), F.col("unit_price").cast("double").alias("invoiced_price"))
+    """Invoiced lines with the only order price of their item and procedure, without any order the only award price; ambiguous stays null."""
+    keys = ["case_id", "procurement_id", "item_id"]
+    p = _lines(spark, folder, *keys, "stage", "unit_price").where("item_id is not null")
+    prices = lambda stage: F.collect_set(F.when(F.col("stage") == stage, F.col("unit_price")))
+    told = p.where(F.col("stage").isin("orden_compra", "adjudicacion") & F.col("procurement_id").isNotNull()).groupBy(*keys).agg(prices("orden_compra").alias("o"), prices("adjudicacion").alias("a"))
+    only = lambda c: F.when(F.size(c) == 1, F.element_at(c, 1))
+    reference = told.select(*keys, F.when(F.size("o") > 0, only("o")).otherwise(only("a")).alias("reference"))
+    joined = p.where("stage = 'factura'").join(reference, keys, "left")
+    return joined.select("line_id", "case_id", F.col("reference").cast("double").alias("ordered_price"), F.col("unit_price").cast("double").alias("invoiced_price"))
 
 
 @CATALOGUE.add(
@@ -216,15 +226,18 @@ def party_directory(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @CATALOGUE.add(
-    f"with {_LATEST}, p as (select supplier_tax_id as tax, price_date, line_id, unit_price from lines where supplier_tax_id is not null and price_date is not null)"
-    " select p.line_id, max(o.price_date) as previous_date from p asof left join (select tax, price_date from p) o on p.tax = o.tax and p.price_date > o.price_date group by p.line_id"
+    f"with {_LATEST}, p as (select case_id, supplier_tax_id as tax, price_date, line_id from lines where supplier_tax_id is not null and price_date is not null and case_id is not null)"
+    " select p.line_id, max(o.price_date) as previous_date from p asof left join (select case_id, tax, price_date from p) o on p.case_id = o.case_id and p.tax = o.tax and p.price_date > o.price_date group by p.line_id"
 )
 def previous_purchase(spark: SparkSession, folder: str) -> DataFrame:
-    """The last earlier date on which the line's supplier sold anything."""
-    p = _lines(spark, folder, "supplier_tax_id", "price_date").where("supplier_tax_id is not null and price_date is not null")
-    left = p.select("line_id", "supplier_tax_id", F.date_sub("price_date", 1).alias("before"))
-    right = p.select("supplier_tax_id", "price_date").distinct().withColumn("previous_date", F.col("price_date"))
-    return latest_before(left, right, ["supplier_tax_id"], "before", "price_date", ["previous_date"]).select("line_id", "previous_date")
+    """The last earlier date on which the line's supplier sold anything in the case.
+
+    Only the distinct dates of a supplier are put in order; lines look theirs up by an equi-join.
+    """
+    keys = ["case_id", "supplier_tax_id", "price_date"]
+    p = _lines(spark, folder, *keys).where("case_id is not null and supplier_tax_id is not null and price_date is not null")
+    days = p.select(*keys).distinct().withColumn("previous_date", F.lag("price_date").over(W.partitionBy(*keys[:2]).orderBy("price_date")))
+    return p.join(days, keys).select("line_id", "previous_date")
 
 
 @CATALOGUE.add(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.functions.identifiers import IDENTIFIERS, compare_key, identifiers, legibility, snippet
+from folioscope.functions.identifiers import FOLIO, IDENTIFIERS, compare_key, identifiers, legibility, snippet
 from folioscope.functions.numbers import check_digit, check_digit_holds, identity_kind, person_key, spanish_date, spanish_number, words_to_number
 from folioscope.functions.text import fold
 from folioscope.operators import checks, identity, ordered, pages, relational, search, views
@@ -100,9 +100,9 @@ def reading_lines(spark: SparkSession, folder: str) -> DataFrame:
     f"with {_WORDS}, b as (select * from w where x0 is not null and y0 is not null and y1 is not null), l as (select *, max(y1) over (partition by reading_id order by y0, x0, word_id rows between unbounded preceding and 1 preceding) as lowest from b),"
     " n as (select *, sum(case when lowest is null or (y0 + y1) / 2 > lowest then 1 else 0 end) over (partition by reading_id order by y0, x0, word_id rows between unbounded preceding and current row) as line_no from l),"
     " t as (select reading_id, line_no, trim(lower(string_agg(text, ' ' order by x0, word_id))) as t, min(y0) as y0, max(y1) as y1 from n group by reading_id, line_no),"
-    " f as (select reading_id, line_no, regexp_extract(t, '^(?:f[oó]ja|foja|folio|fs\\.?|f[oó]lio)\\s*(?:n[°º]\\s*)?([0-9]{1,4})\\s*(bis|ter|quater)?\\s*(vta\\.?|vuelta)?$', ['number','suffix','back']) as f from t where (y0 < 842 * 0.13 or y1 > 842 * 0.87)"
-    " and regexp_matches(t, '^(?:f[oó]ja|foja|folio|fs\\.?|f[oó]lio)\\s*(?:n[°º]\\s*)?([0-9]{1,4})\\s*(bis|ter|quater)?\\s*(vta\\.?|vuelta)?$'))"
-    " select reading_id, line_no, f.number::int as number, nullif(f.suffix, '') as suffix, f.back <> '' as back from f".replace("{1,4}", "{{1,4}}").replace("{{", "{").replace("}}", "}")
+    " u as (select reading_id, line_no, trim(translate(t, '°º', '')) as t from t where y0 < 842 * 0.13 or y1 > 842 * 0.87),"
+    f" f as (select reading_id, line_no, regexp_extract(t, '{FOLIO}', ['number','suffix','side']) as f from u where regexp_matches(t, '{FOLIO}'))"
+    " select reading_id, line_no, f.number::int as number, nullif(f.suffix, '') as suffix, f.side <> '' and f.side not like 'r%' as back from f"
 )
 def folio_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Folio notes in the margins of the readings."""
@@ -235,8 +235,7 @@ def page_search(spark: SparkSession, folder: str) -> DataFrame:
 )
 def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
     """Pages that hold both words, ranked by BM25."""
-    index = search.inverted_index(table(spark, folder, "case_pages", "page_id", "page_text"), "page_id", "page_text")
-    return search.rank_bm25(index, "multa diaria").select("page", F.round("score", 4).alias("score"))
+    return search.rank_pages(table(spark, folder, "case_pages", "page_id", "page_text"), "page_id", "page_text", "multa diaria").select("page", F.round("score", 4).alias("score"))
 
 
 @CATALOGUE.add(
