@@ -29,17 +29,22 @@ def distinct_words(words: DataFrame) -> DataFrame:
     return words.where("text <> '' and word_id is not null").groupBy("word_id").agg(F.min(F.struct(*kept)).alias("w")).select("word_id", "w.*")
 
 
-def reading_lines(words: DataFrame) -> DataFrame:
-    """reading_id, line_no, text, words and box of each line, top to bottom.
+def lined_words(words: DataFrame) -> DataFrame:
+    """Words with the number of their line, top to bottom; words without a box stay out.
 
     Words are walked by height; one whose vertical middle lies below the lowest edge of
-    what stands above it opens a new line. Words without a box stay out.
+    what stands above it opens a new line.
     """
-    boxed = distinct_words(words).where("y0 is not null and y1 is not null and x0 is not null")
+    boxed = words.where("y0 is not null and y1 is not null and x0 is not null")
     down = W.partitionBy("reading_id").orderBy("y0", "x0", "word_id")
     lowest = F.max("y1").over(down.rowsBetween(W.unboundedPreceding, -1))
     opens = lowest.isNull() | ((F.col("y0") + F.col("y1")) / 2 > lowest)
-    numbered = boxed.withColumn("line_no", F.sum(opens.cast("int")).over(down.rowsBetween(W.unboundedPreceding, 0)))
+    return boxed.withColumn("line_no", F.sum(opens.cast("int")).over(down.rowsBetween(W.unboundedPreceding, 0)))
+
+
+def reading_lines(words: DataFrame) -> DataFrame:
+    """reading_id, line_no, text, words and box of each line (see `lined_words`)."""
+    numbered = lined_words(distinct_words(words))
     parts = F.array_sort(F.collect_list(F.struct("x0", "word_id", "text")))
     return numbered.groupBy("reading_id", "line_no").agg(
         F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"), F.count("*").alias("words"),
@@ -94,42 +99,81 @@ def folio_notes(lines: DataFrame, page_height: float = 842.0, margin: float = 0.
     return lines.where(edge).select("reading_id", "line_no", note.alias("f")).where("f is not null").select("reading_id", "line_no", "f.*")
 
 
+def columns_of(words: list[tuple[float, float, str]], gap: float) -> tuple[list[float], list[str]]:
+    """Starts and texts of the cells of a line, left to right: a cell starts after a gap."""
+    starts: list[float] = []
+    cells: list[list[str]] = []
+    end = None
+    for x0, x1, text in words:
+        if end is None or x0 - end >= gap:
+            starts.append(x0)
+            cells.append([text])
+        else:
+            cells[-1].append(text)
+        end = x0 if x1 is None or x1 != x1 else x1
+    return starts, [" ".join(c) for c in cells]
+
+
+def places_in(starts: list[float], columns: list[float], near: float) -> list[int] | None:
+    """The column of each start, in order; None if one has none or two share one."""
+    found = []
+    for x in starts:
+        best = min(range(len(columns)), key=lambda c: abs(columns[c] - x))
+        if abs(columns[best] - x) > near or (found and best <= found[-1]):
+            return None
+        found.append(best)
+    return found
+
+
+def table_blocks(lines: list[tuple[list[float], list[str]]], gap: float, least_rows: int) -> list[tuple[int, int, list[float]]]:
+    """(first line, last line, columns) of the tables among a reading's lines, top to bottom.
+
+    Seeds are runs of at least `least_rows` lines with the same two or more columns. Each
+    grows up and down over lines with at least two cells that fit its columns, some of which
+    may stay empty. The seed of most rows comes first, and no line belongs to two tables.
+    """
+    same = lambda p, q: len(p) == len(q) >= 2 and all(abs(x - y) <= gap / 2 for x, y in zip(p, q, strict=True))
+    seeds, at = [], 0
+    while at < len(lines):
+        end = at
+        while end + 1 < len(lines) and same(lines[end][0], lines[end + 1][0]):
+            end += 1
+        if end - at + 1 >= least_rows:
+            seeds.append((at, end))
+        at = end + 1
+    taken: set[int] = set()
+    blocks = []
+    for first, last in sorted(seeds, key=lambda b: (b[0] - b[1], b[0])):
+        if taken & set(range(first, last + 1)):
+            continue
+        columns = lines[first][0]
+        fits = lambda i: 0 <= i < len(lines) and i not in taken and len(lines[i][0]) >= 2 and places_in(lines[i][0], columns, gap / 2) is not None  # noqa: B023, E731
+        while fits(first - 1):
+            first -= 1
+        while fits(last + 1):
+            last += 1
+        taken |= set(range(first, last + 1))
+        blocks.append((first, last, columns))
+    return sorted(blocks)
+
+
 def find_tables(lines_of_words: DataFrame, gap: float = 18.0, least_rows: int = 3) -> DataFrame:
-    """Tables of a reading: runs of lines whose words stand in the same columns.
+    """reading_id, table_no, line_no, column_no, text: the cells of the tables of each reading (see `table_blocks`).
 
-    Columns are starts of words after a gap of at least `gap` points. Neighbouring lines
-    with the same columns (each start within half the gap) and at least two columns make a
-    block; blocks of at least `least_rows` lines count. A page's words are the group, so
-    no group grows with the data.
+    Cells start after a gap of at least `gap` points; starts within half of it are one column.
+    A page's words are the group, so no group grows with the data.
     """
 
     def per_reading(group: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        numbers, lines = [], []
         for line, words in group.sort_values(["line_no", "x0"]).groupby("line_no"):
-            starts, cells, end = [], [], None
-            for x0, x1, text in words[["x0", "x1", "text"]].itertuples(index=False):
-                if end is None or x0 - end >= gap:
-                    starts.append(x0)
-                    cells.append([text])
-                else:
-                    cells[-1].append(text)
-                end = x1
-            rows.append((line, starts, [" ".join(c) for c in cells]))
-        out, block = [], []
-
-        def close() -> None:
-            if len(block) >= least_rows:
-                number = out[-1][1] + 1 if out else 1
-                out.extend((group["reading_id"].iat[0], number, line, c + 1, text) for line, _, cells in block for c, text in enumerate(cells))
-            block.clear()
-
-        for row in rows:
-            same = block and len(block[-1][1]) == len(row[1]) and all(abs(p - q) <= gap / 2 for p, q in zip(block[-1][1], row[1], strict=True))
-            if not same:
-                close()
-            if len(row[1]) >= 2:
-                block.append(row)
-        close()
+            numbers.append(line)
+            lines.append(columns_of(list(words[["x0", "x1", "text"]].itertuples(index=False, name=None)), gap))
+        out = []
+        for table_no, (first, last, columns) in enumerate(table_blocks(lines, gap, least_rows), 1):
+            for i in range(first, last + 1):
+                starts, cells = lines[i]
+                out += [(group["reading_id"].iat[0], table_no, numbers[i], c + 1, t) for c, t in zip(places_in(starts, columns, gap / 2), cells, strict=True)]
         return pd.DataFrame(out, columns=["reading_id", "table_no", "line_no", "column_no", "text"])
 
     need = lines_of_words.select("reading_id", "line_no", "x0", "x1", "text")

@@ -45,6 +45,15 @@ def complete_total(value: Column, currency: Column) -> Column:
     return F.when((F.count(F.lit(1)) == F.count(value)) & (F.countDistinct(currency) == 1), F.sum(value))
 
 
+def sums_against_totals(lines: DataFrame, keys: list[str], value: str, total: str) -> DataFrame:
+    """keys, summed, printed where the lines don't add up to the printed total, both at two decimals, half up.
+
+    Nothing is said of a group with a missing value or without a total.
+    """
+    g = lines.groupBy(*keys).agg(F.round(F.sum(value), 2).alias("summed"), F.max(total).alias("printed"), F.count("*").alias("n"), F.count(value).alias("known"))
+    return g.where((F.col("known") == F.col("n")) & (F.col("summed") != F.round("printed", 2))).select(*keys, F.col("summed").cast("double").alias("summed"), F.col("printed").cast("double").alias("printed"))
+
+
 def outliers_by_median(df: DataFrame, group: str, value: str, least: int = 5, factor: float = 1.6) -> DataFrame:
     """Rows above `factor` times the median of their group, for groups of at least `least` values."""
     known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())

@@ -144,6 +144,13 @@ def invoice_before_order(spark: SparkSession, folder: str) -> DataFrame:
     return firsts.where("invoiced < ordered")
 
 
+def same_prices(lines: DataFrame) -> DataFrame:
+    """case_id, doc_a, doc_b of the papers of a case (document_id) with the same sorted prices (unit_price)."""
+    s = lines.where("unit_price is not null").groupBy("case_id", "document_id").agg(F.sort_array(F.collect_list("unit_price")).alias("signature"))
+    b = s.withColumnRenamed("document_id", "doc_b")
+    return s.join(b, ["case_id", "signature"]).where(F.col("document_id") < F.col("doc_b")).select("case_id", F.col("document_id").alias("doc_a"), "doc_b")
+
+
 @CATALOGUE.add(
     f"with {_LATEST} select a.case_id, a.document_id as doc_a, b.document_id as doc_b from (select distinct case_id, document_id, signature from (select case_id, document_id, string_agg(unit_price::varchar, ';' order by unit_price) as signature"
     " from lines where stage = 'oferta' and unit_price is not null group by case_id, document_id)) a join (select case_id, document_id, string_agg(unit_price::varchar, ';' order by unit_price) as signature from lines where stage = 'oferta' and unit_price is not null group by case_id, document_id) b"
@@ -151,10 +158,7 @@ def invoice_before_order(spark: SparkSession, folder: str) -> DataFrame:
 )
 def identical_offers(spark: SparkSession, folder: str) -> DataFrame:
     """Offers of a case with the same sorted prices."""
-    p = _lines(spark, folder, "case_id", "document_id", "stage", "unit_price").where("stage = 'oferta' and unit_price is not null")
-    s = p.groupBy("case_id", "document_id").agg(F.sort_array(F.collect_list("unit_price")).alias("signature"))
-    b = s.withColumnRenamed("document_id", "doc_b")
-    return s.join(b, ["case_id", "signature"]).where(F.col("document_id") < F.col("doc_b")).select("case_id", F.col("document_id").alias("doc_a"), "doc_b")
+    return same_prices(_lines(spark, folder, "case_id", "document_id", "stage", "unit_price").where("stage = 'oferta'"))
 
 
 @CATALOGUE.add(
@@ -306,7 +310,7 @@ def description_marks(spark: SparkSession, folder: str) -> DataFrame:
 
 @CATALOGUE.add(
     f"with {_LATEST}, w as (select line_id, unnest(list_distinct(list_filter(regexp_extract_all(regexp_replace({_FOLD.format('description')}, '([0-9]),([0-9])', '\\1.\\2', 'g'), '[a-z0-9./]+'),"
-    " lambda x: x not in ('de','del','la','el','en','con','para','por','y','a')))) as word from lines where description is not null)"
+    " lambda x: x not in ('de','del','la','las','el','los','y','e','o','u','con','sin','para','por','a','al','en','x','.')))) as word from lines where description is not null)"
     " select word, count(*) as n from w group by word having count(*) >= 2"
 )
 def anchor_frequency(spark: SparkSession, folder: str) -> DataFrame:

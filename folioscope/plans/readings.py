@@ -66,8 +66,9 @@ def amounts_in_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @CATALOGUE.add()
 def numbers_twice(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers that a document writes in words and in digits, and whether they agree."""
-    return consensus.numbers_written_twice(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    """Numbers that a page or document writes in words and in digits, and whether they agree."""
+    papers = table(spark, folder, "documents", "doc_id", "text").unionByName(table(spark, folder, "case_pages", "page_id", "page_text").toDF("doc_id", "text"))
+    return consensus.numbers_written_twice(papers, "doc_id", "text")
 
 
 @CATALOGUE.add(
@@ -82,14 +83,7 @@ def decimal_notation(spark: SparkSession, folder: str) -> DataFrame:
 @CATALOGUE.add()
 def word_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Tables among the words of the readings, as cells."""
-    w = pages.distinct_words(table(spark, folder, "words")).where("y0 is not null and x0 is not null")
-    return pages.find_tables(w.withColumn("line_no", F.dense_rank().over(_by_height())))
-
-
-def _by_height():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy("reading_id").orderBy("y0")
+    return pages.find_tables(pages.lined_words(pages.distinct_words(table(spark, folder, "words"))))
 
 
 @CATALOGUE.add(

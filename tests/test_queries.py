@@ -7,11 +7,11 @@ from pathlib import Path
 import pytest
 
 import oracle
-from folioscope.plans import changes, facts, lines, papers, problems, readings
+from folioscope.plans import cases, changes, facts, lines, papers, problems, readings
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = {k: f for m in (facts, lines, papers, changes, readings) for k, f in m.CATALOGUE.queries.items()} | problems.QUERIES
-ORACLES = {k: q for m in (facts, lines, papers, changes, readings) for k, q in m.CATALOGUE.oracles.items()}
+QUERIES = {k: f for m in (facts, lines, papers, changes, readings, cases) for k, f in m.CATALOGUE.queries.items()} | problems.QUERIES
+ORACLES = {k: q for m in (facts, lines, papers, changes, readings, cases) for k, q in m.CATALOGUE.oracles.items()}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
 
