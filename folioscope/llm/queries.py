@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.llm.catalogue import match_catalogue
-from folioscope.llm.mixing import mix_report, mix_sources
+from folioscope.llm.mixing import mix_report, mix_sources, step_length, whole_weights
 from folioscope.llm.neardup import near_duplicates
 from folioscope.llm.packing import pack_documents, pack_report
 from folioscope.llm.parties import link_parties, names_of_cases
@@ -80,6 +81,33 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(p7_mix(spark, folder), table(spark, folder, "mix_targets", "source", "target_share", "max_repeats"))
 
 
+def p6_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity: packs that hold too much, documents cut that needn't be, documents whose pieces don't add up; all must be 0."""
+    sized = cut_lineage(with_tokens(table(spark, folder, "documents", "doc_id", "text")))
+    sizes = table(spark, folder, "pack_sizes", "pack_id", "capacity_tokens")
+    packed = cut_lineage(pack_documents(sized, sizes))
+    over = packed.groupBy("pack_id", "capacity_tokens", "pack_no").agg(F.sum("n_tokens").alias("held")).groupBy("pack_id").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"))
+    docs = packed.groupBy("pack_id", "doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("laid"), F.max("capacity_tokens").alias("capacity"))
+    wanted = sizes.select("pack_id").distinct().join(sized.where("n_tokens > 0"))  # a short list
+    both = wanted.join(docs, ["pack_id", "doc_id"], "left")
+    wrong = both.groupBy("pack_id").agg(
+        F.count_if((F.col("n_tokens") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("cut_in_vain"), F.count_if(~F.col("laid").eqNullSafe(F.col("n_tokens"))).alias("not_whole")
+    )
+    return over.join(wrong, "pack_id")
+
+
+def p7_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source: uses beyond the allowed ones (0), and whether its tokens are within one block of its share of the mix."""
+    targets = table(spark, folder, "mix_targets", "source", "target_share", "max_repeats")
+    mixed = cut_lineage(p7_mix(spark, folder))
+    whole, longest = mixed.agg(F.sum("n_tokens"), F.max("n_tokens")).first()
+    shares = {r.source: r.target_share for r in targets.join(mixed, "source", "left_semi").limit(10_000).collect()}
+    block = 2 * step_length(longest or 1, whole_weights(shares)) if shares else 1
+    report = mix_report(mixed, targets)
+    near = F.abs(F.col("tokens") - F.col("target_share") * F.lit(whole or 0)) < block
+    return report.select("source", F.greatest(F.col("repeats") - F.col("max_repeats"), F.lit(0)).alias("too_often"), near.alias("near"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """The subjects of each document."""
     return classify_subjects(
@@ -89,5 +117,19 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_paragraphs": p2_paragraphs, "p3_found": p3_found, "p5_found": p5_found, "p6_packs": p6_packs, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    q.__name__: q
+    for q in (p1_found, p2_found, p2_paragraphs, p3_found, p5_found, p6_packs, p6_report, p6_invariants, p7_mix, p7_shares, p7_invariants, p8_found)
+}
+ORACLES: dict[str, str] = {
+    # The exact similarity of all pairs that share a run, on the sets themselves.
+    "p1_found": (
+        "with w as (select distinct page_id, list_filter(regexp_split_to_array(lower(page_text), '\\s+'), lambda x: x <> '') as l from case_pages where page_text is not null),"
+        " r as (select distinct page_id, l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] as run from (select page_id, l, unnest(range(1, len(l) - 1)) as i from w where len(l) >= 20)),"
+        " n as (select page_id, count(*) as n from r group by page_id),"
+        " c as (select a.page_id as a, b.page_id as b, count(*) as common from r a join r b on a.run = b.run and a.page_id < b.page_id group by all)"
+        " select a as page_id_a, b as page_id_b from c join n x on x.page_id = a join n y on y.page_id = b where common >= 0.5 * (x.n + y.n - common)"
+    ),
+    "p6_invariants": "select distinct pack_id, 0 as overfull, 0 as cut_in_vain, 0 as not_whole from pack_sizes",
+    "p7_invariants": "select source, 0 as too_often, true as near from mix_targets",
+}

@@ -555,3 +555,13 @@ def test_queries_return_distinct_rows(spark, name):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
     rows_ = df.collect()
     assert len(rows_) == len(set(rows_))
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["p1_found", "p6_invariants", "p7_invariants"])
+def test_queries_equal_their_sql(spark, name):
+    import oracle
+    from folioscope.llm.queries import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    assert oracle.rows_of_spark(QUERIES[name](spark, folder)) == oracle.rows_of_sql(oracle.connect(folder), ORACLES[name])
