@@ -13,18 +13,22 @@ def last_decisions(log: DataFrame, keys: list[str], sequence: str = "decision_id
     return log.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def overlay(facts: DataFrame, log: DataFrame, keys: list[str], sequence: str = "decision_id") -> DataFrame:
+def overlay(facts: DataFrame, log: DataFrame, keys: list[str], sequence: str = "decision_id", lock: str | None = None) -> DataFrame:
     """Facts with the last decision applied.
 
-    `log` has the keys, the sequence, `action` (verify, correct, illegible, absent, revert)
-    and `value`. A reverted decision leaves the machine's fact; facts are never dropped.
+    `log` has the keys, the sequence, `action` (verify, correct, illegible, absent, ambiguous,
+    revert) and `value`. A reverted decision leaves the machine's fact; facts are never dropped.
+    With `lock`, a column of both, a decision counts only if it was made on what the fact is now.
     """
-    last = last_decisions(log, keys, sequence).where("action <> 'revert'").select(*keys, "action", F.col("value").alias("decided"))
+    seen = [] if lock is None else [F.col(lock).alias("seen")]
+    last = last_decisions(log, keys, sequence).where("action <> 'revert'").select(*keys, "action", F.col("value").alias("decided"), *seen)
     joined = facts.join(last, keys, "left")
-    value = F.when(F.col("action") == "correct", F.col("decided")).when(F.col("action").isin("illegible", "absent"), F.lit(None)).otherwise(F.col("literal"))
+    if lock is not None:
+        joined = joined.withColumn("action", F.when(F.col("seen").eqNullSafe(F.col(lock)), F.col("action"))).drop("seen")
+    value = F.when(F.col("action") == "correct", F.col("decided")).when(F.col("action").isin("illegible", "absent", "ambiguous"), F.lit(None)).otherwise(F.col("literal"))
     state = (
-        F.when(F.col("action") == "verify", "verificado").when(F.col("action") == "correct", "corregido")
-        .when(F.col("action") == "illegible", "ilegible").when(F.col("action") == "absent", "ausente").otherwise(F.col("state"))
+        F.when(F.col("action") == "verify", "verificado").when(F.col("action") == "correct", "corregido").when(F.col("action") == "illegible", "ilegible")
+        .when(F.col("action") == "absent", "ausente").when(F.col("action") == "ambiguous", "ambiguo").otherwise(F.col("state"))
     )
     return joined.withColumn("literal", value).withColumn("state", state).drop("action", "decided")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import decisions, graph, ordered, pipeline, relational, statistics, views
+from folioscope.operators import decisions, graph, ordered, pipeline, procurement, relational, statistics, views
 from folioscope.plans.registry import Catalogue
 from folioscope.sources.tables import table
 
@@ -54,14 +54,16 @@ def decision_overlay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @CATALOGUE.add(
-    "select sha256, count(*) as seen, bool_or(original_path like '%/scan%') as scanned, 'new' as review, false as gone from case_files group by sha256"
+    "with f as (select sha256, count(*) as seen, bool_or(original_path like '%/scan%') as scanned from case_files group by sha256)"
+    " select sha256, seen, scanned, case when seen > 1 then 'accepted' else 'new' end as review, false as gone from f union all select 'removed', 3, true, 'rejected', true"
 )
 def file_findings(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings per file merged into an empty store: all new, none gone."""
+    """Findings per file merged into a store in which people accepted the repeated ones and rejected one that is gone."""
     f = table(spark, folder, "case_files", "sha256", "original_path").groupBy("sha256").agg(
         F.count("*").alias("seen"), F.max(F.col("original_path").contains("/scan")).alias("scanned")
     )
-    old = spark.createDataFrame([], "sha256 string, seen bigint, scanned boolean, review string")
+    removed = spark.createDataFrame([("removed", 3, True, "rejected")], "sha256 string, seen bigint, scanned boolean, review string")
+    old = f.where("seen > 1").select("sha256", F.lit(1).cast("bigint").alias("seen"), F.lit(False).alias("scanned"), F.lit("accepted").alias("review")).unionByName(removed)
     return decisions.upsert(old, f, "sha256")
 
 
@@ -144,8 +146,12 @@ def page_components(spark: SparkSession, folder: str) -> DataFrame:
 
 @CATALOGUE.add()
 def procurement_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents of a case grouped by shared suppliers, never across two procedures."""
-    p = views.latest_lines(table(spark, folder, "price_lines", "line_id", "loaded_at", "case_id", "document_id", "supplier_tax_id", "procurement_id"))
-    label = p.groupBy("case_id", "document_id").agg(F.min(F.col("procurement_id").cast("string")).alias("label"))
-    held = p.where("supplier_tax_id is not null").select("case_id", "document_id", "supplier_tax_id").distinct().join(label, ["case_id", "document_id"])
-    return graph.constrained_cliques(held, "case_id", "supplier_tax_id", "document_id", "label")
+    """Papers of a case that share a procedure, or a supplier on near pages of a file, never across two procedures."""
+    p = views.latest_lines(table(spark, folder, "price_lines", "line_id", "loaded_at", "case_id", "document_id", "file_sha", "page_no", "supplier_tax_id", "procurement_id")).where("document_id is not null")
+    where = p.groupBy("case_id", "document_id").agg(
+        F.min("file_sha").alias("file"), F.min("page_no").alias("page_from"), F.max("page_no").alias("page_to"), F.min(F.col("procurement_id").cast("string")).alias("label")
+    )
+    tax = p.select("case_id", "document_id", F.col("supplier_tax_id").alias("tax")).distinct()
+    papers = where.join(tax, ["case_id", "document_id"]).withColumnRenamed("document_id", "node")
+    anchors = p.where("procurement_id is not null").select("case_id", F.col("document_id").alias("node"), F.col("procurement_id").cast("string").alias("key"))
+    return procurement.procurement_groups(papers, anchors.distinct()).select("case_id", F.col("node").alias("document_id"), "group")

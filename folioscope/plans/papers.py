@@ -262,7 +262,16 @@ def page_legibility(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("page_id", legibility(F.col("page_text")).alias("legibility"))
 
 
-@CATALOGUE.add()
+_RULES = pages.PAGE_RULES
+_MARKS = {name: f"len(regexp_extract_all(t, '({marks})', 1))" for name, _, marks in _RULES}
+_TITLED = " ".join(f"when contains(substr(t, 1, 120), '{title}')" + (" and not contains(t, 'no valido como factura')" if name == "factura" else "") + f" then '{name}'" for name, title, _ in _RULES)
+_MARKED = " ".join(f"when {m} > 0 and {m} = greatest({', '.join(_MARKS.values())}) then '{name}'" for name, m in _MARKS.items())
+
+
+@CATALOGUE.add(
+    f"with s as ({CATALOGUE.oracles['page_legibility']}), x as (select page_id, coalesce({_FOLD.format('page_text')}, '') as t from case_pages)"
+    f" select page_id, case when s.legibility <> 'readable' then s.legibility {_TITLED} {_MARKED} else 'desconocido' end as class from x join s using (page_id)"
+)
 def page_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Class of each page by its text."""
     p = table(spark, folder, "case_pages", "page_id", "page_text")

@@ -86,25 +86,31 @@ def word_tables(spark: SparkSession, folder: str) -> DataFrame:
     return pages.find_tables(pages.lined_words(pages.distinct_words(table(spark, folder, "words"))))
 
 
-@CATALOGUE.add(
-    "select (select count(*) from case_files) as sightings, (select count(distinct sha256) from case_files) as files, (select count(*) from case_pages) as pages, (select count(*) from case_pages where page_text is not null) as indexed,"
-    " (select count(distinct page_id) from readings) as pages_read, (select count(*) from readings) as readings, (select count(distinct piece_id) from piece_fields) as pieces, (select count(distinct field_id) from piece_fields where state = 'conflicto') as conflicts,"
-    " (select count(distinct line_id) from price_lines) as lines, (select count(distinct line_id) from price_lines where item_id is not null) as assigned_lines, (select count(*) from documents) as documents"
-)
+_STATES = ("automatico_alta", "pendiente_baja", "conflicto", "no_revisado", "verificado", "corregido")
+#: Counters by table; the expressions mean the same in both engines.
+COUNTERS = {
+    "case_files": {"sightings": "count(*)", "files": "count(distinct sha256)", "cases": "count(distinct case_id)", "bytes": "cast(sum(bytes) as bigint)", "files_of_unknown_length": "count(distinct case when pages is null then sha256 end)"},
+    "case_pages": {"pages": "count(*)", "indexed": "count(page_text)", "classified": "count(page_class)", "blank": "count(case when fingerprint = '' then 1 end)", "files_with_pages": "count(distinct file_sha)"},
+    "readings": {"readings": "count(*)", "pages_read": "count(distinct page_id)", "native": "count(case when route = 'nativo' then 1 end)", "readings_without_words": "count(case when confidence is null then 1 end)"},
+    "piece_fields": {"pieces": "count(distinct piece_id)", "fields": "count(distinct field_id)", **{f"fields_{s}": f"count(distinct case when state = '{s}' then field_id end)" for s in _STATES}},
+    "person_aliases": {"aliases": "count(distinct alias_id)", "persons": "count(distinct person_id)", "typed_aliases": "count(distinct case when field_id is null then alias_id end)"},
+    "price_lines": {
+        "lines": "count(distinct line_id)", "assigned_lines": "count(distinct case when item_id is not null then line_id end)", "procedures": "count(distinct procurement_id)",
+        "suppliers": "count(distinct supplier_tax_id)", "invoice_lines": "count(distinct case when stage = 'factura' then line_id end)", "lines_without_price": "count(distinct case when unit_price is null then line_id end)",
+    },
+    "documents": {"documents": "count(distinct doc_id)", "undated_documents": "count(distinct case when doc_date is null then doc_id end)"},
+    "subject_labels": {"labelled_documents": "count(distinct doc_id)", "labellers": "count(distinct labeller)"},
+}
+
+
+@CATALOGUE.add("select * from " + " cross join ".join(f"(select {', '.join(f'{e} as {n}' for n, e in c.items())} from {t})" for t, c in COUNTERS.items()))
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    """The counters of a dashboard, one scan per table."""
-    parts = [
-        table(spark, folder, "case_files", "sha256").agg(F.count("*").alias("sightings"), F.countDistinct("sha256").alias("files")),
-        table(spark, folder, "case_pages", "page_text").agg(F.count("*").alias("pages"), F.count("page_text").alias("indexed")),
-        table(spark, folder, "readings", "page_id").agg(F.countDistinct("page_id").alias("pages_read"), F.count("*").alias("readings")),
-        table(spark, folder, "piece_fields", "piece_id", "field_id", "state").agg(F.countDistinct("piece_id").alias("pieces"), F.countDistinct(F.when(F.col("state") == "conflicto", F.col("field_id"))).alias("conflicts")),
-        table(spark, folder, "price_lines", "line_id", "item_id").agg(F.countDistinct("line_id").alias("lines"), F.countDistinct(F.when(F.col("item_id").isNotNull(), F.col("line_id"))).alias("assigned_lines")),
-        table(spark, folder, "documents", "doc_id").agg(F.count("*").alias("documents")),
-    ]
-    one = parts[0].withColumn("one", F.lit(1))
+    """The counters of a dashboard: one scan and one aggregation per table, single rows side by side."""
+    parts = [table(spark, folder, t).agg(*[F.expr(e).alias(n) for n, e in c.items()]) for t, c in COUNTERS.items()]
+    whole = parts[0]
     for p in parts[1:]:
-        one = one.join(p.withColumn("one", F.lit(1)), "one")
-    return one.drop("one")
+        whole = whole.crossJoin(p)  # one row each
+    return whole
 
 
 @CATALOGUE.add(

@@ -7,9 +7,11 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.shipping import ship_package
+
 
 def get_session(app: str = "folioscope", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with ANSI arithmetic, UTC and adaptive execution; `conf` overrides."""
+    """A session with ANSI arithmetic, UTC and adaptive execution, with the package at hand in its workers; `conf` overrides."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -25,7 +27,9 @@ def get_session(app: str = "folioscope", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    session = builder.getOrCreate()
+    ship_package(session)
+    return session
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
