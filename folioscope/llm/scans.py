@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,6 +64,11 @@ _PAGE_NUMBER = re.compile(
 _LABELLED_END = re.compile(rf"\s+(?:{_PAGE_LABEL}.*|-\s*[0-9]+\s*-|[0-9]{{1,3}}\s*(?:/|de)\s*[0-9]{{1,3}})$")
 
 
+# What any page number holds, and how it can start: most lines are told to have none by these.
+_HAS_NUMBER = re.compile(rf"[0-9]|{_PAGE_LABEL}")
+_MAY_START = re.compile(rf"{_PAGE_LABEL}|[-0-9]|{_DIGIT}{{1,4}}(?![a-z])")
+
+
 def _plain(text: str) -> str:
     return text.lower().translate(str.maketrans("áéíóúüñàè", "aeiouunae", "~"))
 
@@ -134,13 +140,16 @@ def edge_readings(words: list[str]) -> list[tuple[str | None, list[str]]]:
     if is_page_number(line):
         return [(None, ["pageno"] * n)]
     ways: list[tuple[str | None, list[str]]] = [(line, ["header"] * n)]
+    if not _HAS_NUMBER.search(line):
+        return ways
+    plain = [_plain(w) for w in words]
     for cut in range(n - 1, 0, -1):
-        head, tail = words[: n - cut], words[n - cut :]
-        if is_page_number(" ".join(tail)):
-            ways.append((_plain(" ".join(head)), ["header"] * len(head) + ["pageno"] * cut))
-        head, tail = words[:cut], words[cut:]
-        if is_page_number(" ".join(head)):
-            ways.append((_plain(" ".join(tail)), ["pageno"] * cut + ["header"] * len(tail)))
+        head, tail = plain[: n - cut], plain[n - cut :]
+        if _MAY_START.match(tail[0]) and is_page_number(" ".join(tail)):
+            ways.append((" ".join(head), ["header"] * len(head) + ["pageno"] * cut))
+        head, tail = plain[:cut], plain[cut:]
+        if _MAY_START.match(head[0]) and is_page_number(" ".join(head)):
+            ways.append((" ".join(tail), ["pageno"] * cut + ["header"] * len(tail)))
     return ways
 
 
@@ -258,9 +267,17 @@ def running_lines(placed: DataFrame, margin: float = 150.0, top: int = 4, bottom
 def vocabulary(placed: DataFrame, pages: DataFrame) -> DataFrame:
     """word, n, native: how often a word stands within lines, and in native text."""
     inside = placed.where("place > 1 and place < width").select("text", (F.col("route") == "nativo").cast("int").alias("native"))
-    indexed = pages.where("page_text is not null").select(F.explode(F.split(F.translate("page_text", "\n\t\r\f\u00a0", "     "), " ")).alias("text"), F.lit(0).alias("native"))
-    # Counted as written first, so that only distinct forms are stripped of their marks.
-    written = inside.unionByName(indexed).groupBy("text").agg(F.count("*").alias("n"), F.sum("native").alias("native"))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found: Counter = Counter()
+            for t in b["page_text"]:
+                found.update(t.split())
+            yield pd.DataFrame({"text": list(found), "n": list(found.values())})
+
+    # Counted as written first, so that only distinct forms are stripped of their marks; whole texts are split batch by batch.
+    indexed = pages.where("page_text is not null").select("page_text").mapInPandas(counted, "text string, n bigint").select("text", "n", F.lit(0).alias("native"))
+    written = inside.select("text", F.lit(1).cast("bigint").alias("n"), "native").unionByName(indexed).groupBy("text").agg(F.sum("n").alias("n"), F.sum("native").alias("native"))
     return (
         written.where("text not like '(%'").select(bare(F.col("text")).alias("word"), "n", "native")
         .where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"), F.sum("native").alias("native"))
