@@ -384,7 +384,7 @@ def corrections(vocab: DataFrame, forms: DataFrame, ratio: float = 8.0, joined:
     `joined` has further forms to correct, which do not count as seen. A variant must be seen
     `frequent` times, and `ratio` times as often as the form; it is up to two confusions away.
     """
-    single = sorted({(_value(b) - _value(a)) for a, b in CONFUSIONS} | {0})
+    steps = F.array(*[F.struct(F.lit(a).alias("shown"), F.lit(b).alias("meant"), F.lit(_value(b) - _value(a)).alias("by")) for a, b in CONFUSIONS])
     no_accent = lambda c: F.translate(c, "áéíóúü", "aeiouu")
     often = vocab.select("word", "n").unionByName(forms.select("word", F.col("seen").alias("n"))).groupBy("word").agg(F.max("n").alias("n")).where(
         (F.col("n") >= frequent) & (F.length("word") >= 2)
@@ -397,10 +397,10 @@ def corrections(vocab: DataFrame, forms: DataFrame, ratio: float = 8.0, joined:
         .select("word", F.coalesce("n", "seen").alias("n"), F.coalesce("native", F.lit(0)).alias("native"), no_accent(F.col("word")).alias("plain"))
         .where("native = 0 and length(word) >= 2 and word rlike '[a-z]'")
     )
-    # The form plus one difference meets the variant minus another; values are worked out before the differences are put on.
-    differences = F.explode(F.array(*[F.lit(d) for d in single]))
-    up = rare.withColumn("own", _anagram(F.col("plain"))).withColumn("delta", differences).select("word", "plain", "n", (F.col("own") + F.col("delta")).alias("value"))
-    down = often.withColumn("own", _anagram(F.col("meant_plain"))).withColumn("delta", differences).select("meant", "meant_plain", "n_meant", (F.col("own") - F.col("delta")).alias("value"))
+    # The form plus one difference meets the variant minus another, each by the confusions whose characters it holds.
+    differences = lambda text, side: F.explode(F.array_distinct(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(F.filter(steps, lambda c: text.contains(c[side])), lambda c: c["by"].cast("bigint")))))
+    up = rare.withColumn("own", _anagram(F.col("plain"))).withColumn("delta", differences(F.col("plain"), "shown")).select("word", "plain", "n", (F.col("own") + F.col("delta")).alias("value"))
+    down = often.withColumn("own", _anagram(F.col("meant_plain"))).withColumn("delta", differences(F.col("meant_plain"), "meant")).select("meant", "meant_plain", "n_meant", (F.col("own") - F.col("delta")).alias("value"))
     longer = F.length("plain") - F.length("meant_plain")
     proposed = up.join(down, "value").where((F.col("n_meant") >= F.col("n") * ratio) & (F.abs(longer) <= 4) & (F.col("word") != F.col("meant"))).select(
         "word", "plain", "meant", "meant_plain", "n_meant").distinct()
