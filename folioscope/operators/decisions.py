@@ -70,3 +70,17 @@ def reanchor(decisions: DataFrame, fields: DataFrame, overlap: Column, least: fl
     claims = counted.withColumn("claims", F.count("*").over(W.partitionBy("field_id")))
     outcome = F.when(F.col("top").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").when(F.col("claims") > 1, "collides").otherwise("applied")
     return claims.select("decision_id", F.when(F.col("top").isNotNull(), F.col("field_id")).alias("field_id"), outcome.alias("outcome"))
+
+
+def settle(outcomes: DataFrame, choices: DataFrame) -> DataFrame:
+    """decision_id, field_id, outcome once people chose what happens to decisions that found no field.
+
+    `outcomes` comes from `reanchor`; `choices`: decision_id, choice (`reassign`, `discard`,
+    `pending`), field_id, choice_id; the last choice counts. What was applied is not touched,
+    and what nobody chose for stays pending.
+    """
+    last = last_decisions(choices, ["decision_id"], "choice_id").select("decision_id", "choice", F.col("field_id").alias("chosen"))
+    open_ = F.col("outcome") != "applied"
+    moved = open_ & (F.col("choice") == "reassign") & F.col("chosen").isNotNull()
+    outcome = F.when(moved, "reassigned").when(open_ & (F.col("choice") == "discard"), "discarded").when(open_, "pending").otherwise(F.col("outcome"))
+    return outcomes.join(last, "decision_id", "left").select("decision_id", F.when(moved, F.col("chosen")).when(~open_, F.col("field_id")).alias("field_id"), outcome.alias("outcome"))

@@ -349,16 +349,31 @@ def same_paper_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @CATALOGUE.add(
-    f"with {_ONCE}, d as (select case_id, piece_id, field_name as kind, state, {_DATE.format('literal')} as on_date from once where field_name in ('fecha_inicio','fecha_fin') and state in {_FIRM})"
-    " select case_id, piece_id, kind, on_date from d where on_date is not null union all"
-    " select case_id, doc_id, 'documento', doc_date::date from documents where doc_date is not null"
+    f"with {_ONCE}, d as (select case_id, piece_id as paper, field_name as kind, {_DATE.format('literal')} as on_date, case when state in {_HUMAN} then 0 else 1 end as rank, field_id from once where field_name in ('fecha_inicio','fecha_fin') and state in {_FIRM}),"
+    " e as (select * from d where on_date is not null qualify row_number() over (partition by case_id, paper, kind order by rank, field_id) = 1),"
+    " l as (select line_id, arg_max(case_id, loaded_at) as case_id, arg_max(struct_pack(a := document_id), loaded_at).a as paper, arg_max(struct_pack(a := price_date), loaded_at).a as d, arg_max(struct_pack(a := stage), loaded_at).a as stage from price_lines group by line_id)"
+    " select case_id, paper::varchar as paper, kind, on_date from e union all select case_id, doc_id::varchar, 'documento', doc_date::date from documents where doc_date is not null"
+    " union all select distinct case_id, paper::varchar, 'precio ' || stage, d from l where d is not null and stage is not null and paper is not null"
+    " union all select distinct p.case_id, p.page_id::varchar, 'lectura', r.created_at::date from readings r join case_pages p using (page_id) where r.created_at is not null"
+    " union all select distinct case_id, sha256, 'ingreso', ingested_at::date from case_files where ingested_at is not null"
 )
 def timeline(spark: SparkSession, folder: str) -> DataFrame:
-    """Dated facts of every kind: firm contract dates and dates of papers."""
+    """Dated facts of every kind: contract dates (a person's before the machine's), papers, prices by stage, readings and loads."""
     d = views.distinct_facts(_fields(spark, folder)).where(F.col("field_name").isin("fecha_inicio", "fecha_fin") & views.is_firm(F.col("state")))
-    facts = d.select("case_id", "piece_id", F.col("field_name").alias("kind"), day_month_year(F.col("literal")).alias("on_date")).where("on_date is not null")
-    papers = table(spark, folder, "documents", "case_id", "doc_id", "doc_date").where("doc_date is not null")
-    return facts.unionByName(papers.select("case_id", F.col("doc_id").alias("piece_id"), F.lit("documento").alias("kind"), F.col("doc_date").cast("date").alias("on_date")))
+    dated = d.select("case_id", "piece_id", F.col("field_name").alias("kind"), day_month_year(F.col("literal")).alias("on_date"), "field_id", F.when(F.col("state").isin(*HUMAN_STATES), 0).otherwise(1).alias("rank")).where("on_date is not null")
+    first = dated.groupBy("case_id", "piece_id", "kind").agg(F.min_by("on_date", F.struct("rank", "field_id")).alias("on_date"))
+    row = lambda df, paper, kind, at: df.select("case_id", F.col(paper).cast("string").alias("paper"), kind.alias("kind"), F.col(at).cast("date").alias("on_date")).where("on_date is not null")
+    lines = views.latest_lines(table(spark, folder, "price_lines", "line_id", "loaded_at", "case_id", "document_id", "price_date", "stage")).where("stage is not null and document_id is not null")
+    read = table(spark, folder, "readings", "page_id", "created_at").join(table(spark, folder, "case_pages", "page_id", "case_id"), "page_id")
+    parts = (
+        row(table(spark, folder, "documents", "case_id", "doc_id", "doc_date"), "doc_id", F.lit("documento"), "doc_date"),
+        row(lines, "document_id", F.concat(F.lit("precio "), "stage"), "price_date").distinct(), row(read, "page_id", F.lit("lectura"), "created_at").distinct(),
+        row(table(spark, folder, "case_files", "case_id", "sha256", "ingested_at"), "sha256", F.lit("ingreso"), "ingested_at").distinct(),
+    )
+    out = row(first, "piece_id", F.col("kind"), "on_date")
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 @CATALOGUE.add(

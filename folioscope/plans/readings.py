@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.operators import consensus, pages
+from folioscope.operators.views import latest_lines
 from folioscope.plans.registry import Catalogue
 from folioscope.sources.tables import table
 
@@ -149,17 +151,28 @@ def files_without_facts(spark: SparkSession, folder: str) -> DataFrame:
     return a.join(table(spark, folder, "piece_fields", "file_sha"), "file_sha", "left_anti")
 
 
-@CATALOGUE.add(
-    "select case_id, document_id, cents, row_number() over (order by cents = 0, cents desc, document_id) as place from (select case_id, document_id, sum(cast(subtotal * 100 as bigint))::bigint as cents from"
-    " (select distinct on (line_id) * from price_lines order by line_id, loaded_at desc) group by case_id, document_id having sum(subtotal) is not null) order by place limit 40"
+_TOTALS = (
+    "t as (select case_id, document_id, sum(cast(subtotal * 100 as bigint))::bigint as cents from (select distinct on (line_id) * from price_lines order by line_id, loaded_at desc) group by case_id, document_id)"
 )
-def largest_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The forty documents with the largest totals; zeros last among the known, unknown apart."""
-    from folioscope.operators.views import latest_lines
 
+
+def _totals(spark: SparkSession, folder: str) -> DataFrame:
     p = latest_lines(table(spark, folder, "price_lines", "line_id", "loaded_at", "case_id", "document_id", "subtotal"))
-    t = p.groupBy("case_id", "document_id").agg(F.sum((F.col("subtotal") * 100).cast("bigint")).alias("cents")).where("cents is not null")
+    return p.groupBy("case_id", "document_id").agg(F.sum((F.col("subtotal") * 100).cast("bigint")).alias("cents"))
+
+
+@CATALOGUE.add(
+    f"with {_TOTALS} select case_id, document_id, cents, row_number() over (order by cents = 0, cents desc, document_id) as place, (select count(*) from t where cents is not null) as of from t where cents is not null order by place limit 40"
+)
+def largest_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The forty documents with the largest totals, zeros last, with the number of all beside the cut."""
+    t = _totals(spark, folder).where("cents is not null")
     top = t.orderBy(F.col("cents") == 0, F.desc("cents"), "document_id").limit(40)
-    from pyspark.sql import Window as W
+    placed = top.withColumn("place", F.row_number().over(W.orderBy(F.col("cents") == 0, F.desc("cents"), "document_id")))
+    return placed.crossJoin(t.agg(F.count("*").alias("of")))  # one row
+
 
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.col("cents") == 0, F.desc("cents"), "document_id")))
+@CATALOGUE.add(f"with {_TOTALS} select case_id, document_id from t where cents is null")
+def documents_without_total(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents whose total is unknown, which stand in a list of their own."""
+    return _totals(spark, folder).where("cents is null").select("case_id", "document_id")

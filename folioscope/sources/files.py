@@ -75,6 +75,27 @@ def restore(spark: SparkSession, target: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{target}/{n}") for n in inspect_snapshot(spark, target)}
 
 
+def switch_base(spark: SparkSession, target: str, pointer: str) -> str | None:
+    """Make the snapshot `target` the current base; returns the base before, which stays where it is.
+
+    The snapshot is inspected first, so that a broken one never becomes current. The pointer
+    is a small table of its own: each switch appends one row, and the last row counts.
+    """
+    inspect_snapshot(spark, target)
+    before = current_base(spark, pointer)
+    number = 0 if before is None else spark.read.json(pointer).agg(F.max("number")).first()[0] + 1
+    spark.createDataFrame([(number, target, before)], "number bigint, base string, before string").coalesce(1).write.mode("append").json(pointer)
+    return before
+
+
+def current_base(spark: SparkSession, pointer: str) -> str | None:
+    """The snapshot that the pointer names, null if there is no pointer yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pointer)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema("number bigint, base string, before string").json(pointer).agg(F.max_by("base", "number")).first()[0]
+
+
 def upgrade(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add the columns that an older table lacks, as nulls; nothing is dropped."""
     for name, kind in columns.items():
