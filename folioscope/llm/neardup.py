@@ -126,7 +126,7 @@ def near_duplicate_classes(
     )
     reps = sketched.groupBy("set_key").agg(F.min("id").alias("rep"))
     members = sketched.select("id", "set_key").join(reps, "set_key").select("id", "rep")
-    classes = cut_lineage(sketched.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "size", "probe", "bands"))
+    classes = sketched.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "size", "probe", "bands")
     # Most band values stand alone; the others are kept and met with themselves.
     banded = classes.select("rep", "size", F.explode("bands").alias("band")).withColumn("n", F.count("*").over(W.partitionBy("band")))
     banded = cut_lineage(banded.where("n > 1").select("rep", "size", "band"))
