@@ -66,6 +66,17 @@ def registers(hashes: np.ndarray, m: int) -> np.ndarray:
     return np.clip(np.floor(1.0 - np.log(value) / math.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
+def band_values(k: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One 64-bit value for each band of `rows` registers; four registers fill one word before it is scrambled."""
+    words = -(-rows // 4)
+    packed = np.zeros((bands, words * 4), dtype=np.uint16)
+    packed[:, :rows] = k[: bands * rows].reshape(bands, rows)
+    acc = np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN
+    for part in packed.view(np.uint64).T:
+        acc = _mix(acc + part)
+    return acc
+
+
 def bands_for(threshold: float, rows: int, miss: float = 5e-4) -> int:
     """Bands needed so that a pair at the threshold is missed with probability `miss`."""
     return math.ceil(math.log(miss) / math.log(1.0 - threshold**rows))
@@ -109,9 +120,7 @@ def near_duplicate_classes(
                 if words < min_words or not len(hashes):
                     continue
                 k = registers(hashes, m)
-                acc = np.arange(1, bands + 1, dtype=np.uint64) * _GOLDEN
-                for r in range(rows):
-                    acc = _mix(acc + k[r : bands * rows : rows].astype(np.uint64) + _GOLDEN)
+                acc = band_values(k, bands, rows)
                 out["id"].append(i)
                 out["set_key"].append(xxhash.xxh128_digest(hashes.tobytes()))
                 out["size"].append(len(hashes))

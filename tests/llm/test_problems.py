@@ -68,6 +68,15 @@ def test_registers_merge_and_estimate():
     assert abs(same - 300 / 500) < 0.06
 
 
+@pytest.mark.parametrize("rows_in_band", [1, 3, 4, 5])
+def test_bands_agree_where_all_their_registers_do(rows_in_band):
+    k = np.random.default_rng(4).integers(0, 65_535, 40 * rows_in_band).astype(np.uint16)
+    other = k.copy()
+    other[7 * rows_in_band] ^= 1
+    same = neardup.band_values(k, 40, rows_in_band) == neardup.band_values(other, 40, rows_in_band)
+    assert not same[7] and same.sum() == 39 and len(set(neardup.band_values(np.zeros_like(k), 40, rows_in_band))) == 40
+
+
 # Parties.
 
 
