@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions.identifiers import FOLIO, IDENTIFIERS, compare_key, identifiers, legibility, snippet
-from folioscope.functions.numbers import check_digit, check_digit_holds, identity_kind, person_key, spanish_date, spanish_number, words_to_number
+from folioscope.functions.numbers import NUMBER_WORDS, check_digit, check_digit_holds, identity_kind, person_key, spanish_date, spanish_number, words_to_number
 from folioscope.functions.text import fold
 from folioscope.operators import checks, identity, ordered, pages, relational, search, views
 from folioscope.operators.intervals import point_in_span
@@ -301,13 +301,20 @@ def tax_id_check(spark: SparkSession, folder: str) -> DataFrame:
     return out.where("digit is not null")
 
 
+_WORD_VALUES = "map {" + ", ".join(f"'{w}': {v}" for w, v in NUMBER_WORDS.items()) + "}"
+
+
 @CATALOGUE.add(
-    "with w as (select unnest(['veintiuno','ciento cinco','mil doscientos','tres mil cuarenta y dos','dos millones quinientos mil','cosa']) as t, unnest([21, 105, 1200, 3042, 2500000, null]) as v) select t as words, v::bigint as number from w"
+    f"with q as (select distinct {_FOLD.format('quantity_literal')} as words from price_lines where quantity_literal is not null), k as (select words, list_filter(string_split(words, ' '), lambda w: w not in ('y', 'de', '')) as l from q"
+    " where not regexp_matches(words, '[0-9]') and words <> ''), m as (select words, l, coalesce(list_position(l, 'mil'), 0) as pos from k),"
+    f" v as (select words, l, pos, list_transform(l, lambda w: case when w = 'mil' then 0 else ({_WORD_VALUES})[w] end) as n from m)"
+    " select words, case when len(l) = 0 or len(list_filter(n, lambda x: x is null)) > 0 then null when pos > 0 then (case when pos = 1 then 1 else list_sum(n[1:pos - 1]) end) * 1000 + coalesce(list_sum(n[pos + 1:]), 0)"
+    " else list_sum(n) end::bigint as number from v"
 )
 def words_to_numbers(spark: SparkSession, folder: str) -> DataFrame:
-    """Numbers in words; an unknown word makes the whole unknown."""
-    rows = [(w,) for w in ("veintiuno", "ciento cinco", "mil doscientos", "tres mil cuarenta y dos", "dos millones quinientos mil", "cosa")]
-    return spark.createDataFrame(rows, "words string").select("words", words_to_number(F.col("words")).alias("number"))
+    """The number of each quantity that is written without digits; an unknown word makes the whole unknown."""
+    q = table(spark, folder, "price_lines", "quantity_literal").where("quantity_literal is not null").select(fold(F.col("quantity_literal")).alias("words")).distinct()
+    return q.where(~F.col("words").rlike("[0-9]") & (F.col("words") != "")).select("words", words_to_number(F.col("words")).alias("number"))
 
 
 @CATALOGUE.add(
