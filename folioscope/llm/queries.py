@@ -59,6 +59,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return match_catalogue(lines, table(spark, folder, "catalog_items", "item_id", "item_name"))
 
 
+def p5_misses(spark: SparkSession, folder: str) -> DataFrame:
+    """The descriptions for which the catalogue has no entry, with the number of lines of each."""
+    missed = p5_found(spark, folder).where("item_id = 0").select("line_id")
+    lines = table(spark, folder, "price_lines", "line_id", "description").where("description is not null")
+    return lines.join(missed, "line_id").groupBy("description").agg(F.countDistinct("line_id").alias("lines"))
+
+
 def p6_packs(spark: SparkSession, folder: str) -> DataFrame:
     """The pack of each piece of each document, for every capacity."""
     sized = cut_lineage(with_tokens(table(spark, folder, "documents", "doc_id", "text")))
@@ -121,7 +128,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q
-    for q in (p1_found, p2_found, p2_paragraphs, p3_found, p5_found, p6_packs, p6_report, p6_invariants, p7_mix, p7_shares, p7_invariants, p8_found)
+    for q in (p1_found, p2_found, p2_paragraphs, p3_found, p5_found, p5_misses, p6_packs, p6_report, p6_invariants, p7_mix, p7_shares, p7_invariants, p8_found)
 }
 ORACLES: dict[str, str] = {
     # The exact similarity of all pairs that share a run, on the sets themselves.

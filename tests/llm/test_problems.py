@@ -574,3 +574,13 @@ def test_queries_equal_their_sql(spark, name):
 
     folder = "/root/testdata/sf0.001"
     assert oracle.rows_of_spark(QUERIES[name](spark, folder)) == oracle.rows_of_sql(oracle.connect(folder), ORACLES[name])
+
+
+@needs_tables
+def test_misses_are_reported(spark):
+    from folioscope.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    lines = {r.line_id: r.description for r in spark.read.parquet(f"{folder}/price_lines.parquet").select("line_id", "description").collect()}
+    want = Counter(lines[r.line_id] for r in QUERIES["p5_found"](spark, folder).where("item_id = 0").collect() if lines[r.line_id] is not None)
+    assert {r.description: r.lines for r in QUERIES["p5_misses"](spark, folder).collect()} == want and want
